@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, packing
+from clauseforge.llm import bpe, packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op3_packing(spark, sf_dir):
 @query
 def op8_token_counts(spark, sf_dir):
     return bpe.token_counts(read(spark, sf_dir), vocabulary())
+
+
+@query
+def op2_quality(spark, sf_dir):
+    found = quality.rules(read(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
