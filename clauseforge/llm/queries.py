@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, packing, quality
+from clauseforge.llm import bpe, packing, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op8_token_counts(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     found = quality.rules(read(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op4_secrets(spark, sf_dir):
+    return secrets.digest(read(spark, sf_dir))
