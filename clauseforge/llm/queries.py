@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, packing, quality, secrets
+from clauseforge.llm import bpe, packing, pii, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op2_quality(spark, sf_dir):
 @query
 def op4_secrets(spark, sf_dir):
     return secrets.digest(read(spark, sf_dir))
+
+
+@query
+def op1_pii(spark, sf_dir):
+    return pii.digest(read(spark, sf_dir))
