@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, packing, pii, quality, secrets
+from clauseforge.llm import bpe, packing, pii, quality, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op4_secrets(spark, sf_dir):
 @query
 def op1_pii(spark, sf_dir):
     return pii.digest(read(spark, sf_dir))
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    return simhash.digest(read(spark, sf_dir))
