@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, decontaminate, packing, pii, quality, secrets, simhash
+from clauseforge.llm import bpe, decontaminate, langid, packing, pii, quality, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op7_simhash(spark, sf_dir):
 @query
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_language(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir))
