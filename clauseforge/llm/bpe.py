@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from clauseforge.llm.common import bounded_batches
 
-#: Words whose symbols a worker remembers; the memo starts anew when it is full.
-MEMO_WORDS = 400_000
+#: Words of a worker's memo; a full memo becomes the older one, from which words in use come back.
+MEMO_WORDS = 300_000
 #: A text is split on the fast path only if it holds nothing but these characters.
 UNUSUAL = re.compile("[^\t-\r -~À-ɏ]")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -142,10 +142,15 @@ class Encoder:
     def __init__(self, path: str):
         self.model = merger(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.memo.keys())
-        found = list(map(PIECE.findall, new))
+        new = words - self.memo.keys()
+        if known := new & self.older.keys():
+            self.memo.update({w: self.older[w] for w in known})
+            new -= known
+        new = list(new)
+        found = [(w,) if w.isalpha() else PIECE.findall(w) for w in new]
         distinct = list(dict.fromkeys(x for f in found for x in f))
         ids, lengths = self.model.merge([x.encode() for x in distinct])
         packed, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
@@ -176,7 +181,7 @@ class Encoder:
         for a in range(0, len(texts), STEP):
             now = plain[a : a + STEP]
             if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.learn(set().union(*(w for w in now if w)))
             for t, words in zip(texts[a : a + STEP], now):
                 out.append(self.unusual(t) if words is None else b"".join(map(self.memo.__getitem__, words)))
