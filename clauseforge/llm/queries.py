@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, decontaminate, langid, packing, pii, quality, secrets, simhash
+from clauseforge.llm import bpe, decontaminate, html_text, langid, packing, pii, quality, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op10_decontaminate(spark, sf_dir):
 @query
 def op5_language(spark, sf_dir):
     return langid.identify(read(spark, sf_dir))
+
+
+@query
+def op9_html_text(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))
