@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, decontaminate, html_text, langid, packing, pii, quality, secrets, simhash
+from clauseforge.llm import bpe, decontaminate, html_text, langid, packing, pii, quality, secrets, simhash, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op5_language(spark, sf_dir):
 @query
 def op9_html_text(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op6_substrings(spark, sf_dir):
+    return substrings.digest(read(spark, sf_dir))
