@@ -23,10 +23,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; an own one only if none is named."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder that the cluster names; own folder only if none is named."""
+    """``df`` from a checkpoint in the shared folder."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
