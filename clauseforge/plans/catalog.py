@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
+from clauseforge.plans import search  # noqa: F401
 from clauseforge.plans.registry import ORACLES, QUERIES  # noqa: F401
