@@ -6,7 +6,8 @@ gram wherever they stand, so contexts are dealt to shards by gram: no match cros
 
 1. Each blob sends its distinct grams; a gram met in two blobs is told to both.
 2. Each blob sends the contexts whose gram is met elsewhere, in another blob or another document;
-   equal contexts of one blob are sent once, with the least document id.
+   equal contexts of one blob are sent once, with the least document id; what copies what is
+   passed on to the last step.
 3. A shard builds the suffix array of its contexts by induced sorting and the permuted common
    prefixes (``suffix``). Suffixes that share 50 bytes or more with their forerunner form groups;
    a window goes if its group's least document id is less than its own.
@@ -24,6 +25,7 @@ null id counts as larger than all; an empty table gives no row; other columns ar
 
 from __future__ import annotations
 
+import hashlib
 from itertools import groupby
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches, cut
+from clauseforge.llm.common import bounded_batches, cut, release
 from clauseforge.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -41,6 +43,8 @@ BLOB_BYTES = 2 << 20
 #: Bytes of text for which one more shard of grams or contexts is made.
 GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES, LEAST_SHARDS = 64 << 20, 8 << 20, 256
 PIECE_BYTES = 8 << 20
+#: Grams are hashed in parts that stay in a core's cache.
+PART_BYTES = 128 << 10
 #: A longer row of windows with one gram is cut, so that equal stretches meet as equal contexts.
 LONGEST = 512
 HOT_BLOBS = 20_000
@@ -49,7 +53,6 @@ CODEC = "zstd"
 U = np.uint64
 #: Odd multipliers of the hashes.
 M1, M2, M3, M4 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-M2_INVERSE = pow(M2, -1, 1 << 64)
 ROWS = "k long, kind int, blob long, data binary"
 
 
@@ -85,11 +88,11 @@ class Blob:
         return squeezed(joined(np.array(ids, "<i8"), np.array([len(t) for t in texts], "<i8"), np.frombuffer(b"".join(texts), "u1")))
 
     def parts(self):
-        """Runs of documents of about 1 MB: (first byte, last byte, first document, last document)."""
+        """Runs of documents of about PART_BYTES: (first byte, last byte, first document, last document)."""
         a = 0
         while a < len(self.sizes):
             base = int(self.ends[a] - self.sizes[a])
-            b = max(a + 1, int(np.searchsorted(self.ends, base + (1 << 20), side="right")))
+            b = max(a + 1, int(np.searchsorted(self.ends, base + PART_BYTES, side="right")))
             yield base, int(self.ends[b - 1]), a, b
             a = b
 
@@ -121,60 +124,58 @@ def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Contexts:
-    """Of one blob, by place: gram hash, first window, number of windows, document, and representative.
+    """Of one blob, by place: gram hash, first window, number of windows, and document."""
 
-    A representative is, among the equal contexts of the blob, the first of the least document id.
-    """
-
-    def __init__(self, blob: Blob, grouped: bool = True):
-        v, start, doc = [], [], []
-        n = []
+    def __init__(self, blob: Blob):
+        v, start, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n = [np.zeros(0, np.int64)]
         for a, b, first, last in blob.parts():
             if b - a < LENGTH:
                 continue
             least = windows(blob.bytes[a:b])
-            owner = np.repeat(np.arange(first, last), blob.sizes[first:last])
-            inside = owner[: len(least)] == owner[LENGTH - 1 :]
-            cuts = np.append(True, (least[1:] != least[:-1]) | (owner[1 : len(least)] != owner[: len(least) - 1]) | (inside[1:] != inside[:-1]))
-            at = np.flatnonzero(cuts)
+            cuts = least[1:] != least[:-1]
+            own = blob.ends[first:last] - a
+            for edge in (own - LENGTH, own - 1):  # behind a document's last window, and at the next one's start
+                edge = edge[(edge >= 0) & (edge < len(cuts))]
+                cuts[edge] = True
+            at = np.append(0, np.flatnonzero(cuts) + 1)
             size = np.diff(np.append(at, len(least)))
-            good = inside[at]
-            at, size = at[good], size[good]
+            owner = np.searchsorted(own, at, side="right")
+            good = at + LENGTH <= own[np.minimum(owner, len(own) - 1)]
+            at, size, owner = at[good], size[good], owner[good]
             if len(size) and size.max() > LONGEST:
                 k = -(-size // LONGEST)
                 piece = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                at, size = np.repeat(at, k) + piece * LONGEST, np.repeat(size, k) - piece * LONGEST
+                at, size, owner = np.repeat(at, k) + piece * LONGEST, np.repeat(size, k) - piece * LONGEST, np.repeat(owner, k)
                 size = np.minimum(size, LONGEST)
             v.append(mixed(least[at]))
             start.append(at + a)
             n.append(size)
-            doc.append(owner[at])
-        empty = [np.zeros(0, np.int64)]
-        self.v = np.concatenate(v) if v else np.zeros(0, U)
-        self.start, self.n, self.doc = (np.concatenate(x or empty) for x in (start, n, doc))
+            doc.append(owner + first)
+        self.v, self.start, self.n, self.doc = (np.concatenate(x) for x in (v, start, n, doc))
         self.id = blob.ids[self.doc]
-        if grouped:
-            self.content = content(blob, self.start, self.n + LENGTH - 1)
-            key = self.v ^ (self.content * U(M3)) ^ self.n.astype(U)
-            order = np.lexsort((self.start, self.id, key))
-            new = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
-            self.rep = np.empty(len(order), np.int64)
-            self.rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-            self.key = key
-
-
-def content(blob: Blob, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each stretch, from sums of weighted bytes."""
-    power = np.empty(len(blob.bytes) + 1, U)
-    power[0] = 1
-    power[1:] = U(M2)
-    np.multiply.accumulate(power, out=power)
-    total = np.append(U(0), np.cumsum((mixed(blob.bytes.astype(U) + U(1)) | U(1)) * power[:-1], dtype=U))
-    back = np.empty(len(power), U)
-    back[0] = 1
-    back[1:] = U(M2_INVERSE)
-    np.multiply.accumulate(back, out=back)
-    return mixed((total[start + size] - total[start]) * back[start])
+
+    def representatives(self, blob: Blob) -> tuple[np.ndarray, np.ndarray]:
+        """For each context the first equal one of the least id; and which grams equal or other contexts share."""
+        rep = np.arange(len(self.v))
+        order = np.argsort(self.v)
+        o = self.v[order]
+        twin = np.zeros(len(o), bool)
+        twin[1:] = o[1:] == o[:-1]
+        twin[:-1] |= twin[1:]
+        some = order[twin]
+        some = some[np.lexsort((self.start[some], self.id[some]))]
+        data, known = blob.bytes.tobytes(), {}
+        a = self.start[some]
+        rep[some] = [known.setdefault(data[x:y], k) for k, x, y in zip(some.tolist(), a.tolist(), (a + self.n[some] + LENGTH - 1).tolist())]
+        several = np.zeros(len(o), bool)
+        several[some] = True
+        return rep, several
+
+
+def content(data: bytes, start: np.ndarray) -> np.ndarray:
+    """A hash of the window at each place."""
+    return np.fromiter((int.from_bytes(hashlib.blake2b(data[a : a + LENGTH], digest_size=8).digest(), "little") for a in start.tolist()), U, len(start))
 
 
 def stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -216,16 +217,15 @@ def blobs_of(blob_bytes: int):
 
 
 def send_grams(shards: int):
-    """Blob -> for each shard of grams the low 48 bits of the blob's distinct grams."""
+    """Blob -> for each shard of grams the low 40 bits of the blob's distinct grams."""
 
     def run(batches):
         for batch in batches:
             for blob, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.unique(Contexts(Blob(data), grouped=False).v)
+                v = np.unique(Contexts(Blob(data)).v)
                 shard = shard_of(v, shards)
                 at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(v) else np.zeros(0, np.int64)
-                low = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows = [(int(shard[a]), 0, blob, low[a:b].tobytes()) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(v)])]
+                rows = [(int(shard[a]), 0, blob, narrow(v[a:b])) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(v)])]
                 if rows:
                     yield table(rows)
 
@@ -233,14 +233,14 @@ def send_grams(shards: int):
 
 
 def wide(data: bytes) -> np.ndarray:
-    """48-bit numbers as 64-bit ones."""
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    """40-bit numbers as 64-bit ones."""
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view("<u8").reshape(-1)
 
 
 def narrow(v: np.ndarray) -> bytes:
-    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def shared_grams(hot_blobs: int):
@@ -266,7 +266,7 @@ def shared_grams(hot_blobs: int):
 
 
 def send_contexts(shards: int):
-    """A blob's shared grams, then the blob (kind 2) -> for each shard its contexts."""
+    """A blob's shared grams, then the blob (kind 2) -> for each shard its contexts; kind 1: what copies what."""
 
     def run(batches):
         for blob, rows in by_key(batches):
@@ -277,34 +277,30 @@ def send_contexts(shards: int):
                     continue
                 held = Blob(data)
                 c = Contexts(held)
-                rep = np.flatnonzero(c.rep == np.arange(len(c.rep)))
-                v, low = c.v[rep], c.v[rep] & U((1 << 48) - 1)
-                some, hot = (np.isin(low, np.concatenate(x)) if x else np.zeros(len(rep), bool) for x in known)
-                order = np.lexsort((c.id[rep], v))
-                o, i = v[order], c.id[rep][order]
-                new = np.append(True, o[1:] != o[:-1])[: len(o)]
-                at = np.flatnonzero(new)
-                several = np.zeros(len(rep), bool)
-                if len(at):
-                    stop = np.append(at[1:], len(o)) - 1
-                    several[order] = np.repeat(i[at] != i[stop], stop - at + 1)
-                picked = rep[(some | several) & ~hot]
+                of, several = c.representatives(held)
+                own = of == np.arange(len(of))
+                copies = np.flatnonzero(~own)
+                out = []
+                if len(copies):
+                    later = c.id[copies] > c.id[of[copies]]
+                    out.append((blob % shards, 1, blob, squeezed(joined(c.start[of[copies]].astype("<u4"), c.start[copies].astype("<u4"), c.n[copies].astype("<u2"), later.astype("u1")))))
+                low = c.v & U((1 << 40) - 1)
+                some, hot = (np.isin(low, np.concatenate(x)) if x else np.zeros(len(own), bool) for x in known)
+                picked = np.flatnonzero(own & (some | several) & ~hot)
                 start, n, doc, key = c.start[picked], c.n[picked], c.id[picked], c.v[picked]
                 if hot.any():
-                    hot = rep[hot]
+                    hot = np.flatnonzero(own & hot)
                     each = stretches(c.start[hot], c.n[hot])
                     start, n = np.append(start, each), np.append(n, np.ones(len(each), np.int64))
                     doc = np.append(doc, np.repeat(c.id[hot], c.n[hot]))
-                    key = np.append(key, content(held, each, np.full(len(each), LENGTH)))
+                    key = np.append(key, content(held.bytes.tobytes(), each))
                 shard = shard_of(key, shards)
-                order = np.lexsort((key, shard))
-                shard, start, n, doc, key = (x[order] for x in (shard, start, n, doc, key))
+                order = np.argsort(shard.astype(np.int32), kind="stable")
+                shard, start, n, doc = (x[order] for x in (shard, start, n, doc))
                 at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else shard
-                out = []
                 for a, b in zip(at.tolist(), [*at[1:].tolist(), len(shard)]):
                     places = stretches(start[a:b], n[a:b] + LENGTH - 1)
-                    sub = (key[a:b] >> U(8)).astype("<u4")
-                    out.append((int(shard[a]), 0, blob, joined(sub, doc[a:b].astype("<i8"), start[a:b].astype("<u4"), n[a:b].astype("<u2"), held.bytes[places])))
+                    out.append((int(shard[a]), 0, blob, squeezed(joined(doc[a:b].astype("<i8"), start[a:b].astype("<u4"), n[a:b].astype("<u2"), held.bytes[places]))))
                 for a in range(0, len(out), 1024):
                     yield table(out[a : a + 1024])
 
@@ -329,25 +325,29 @@ def least_ids(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(data: np.ndarray, size: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """The contexts in parts of about PIECE_BYTES that have no gram in common."""
+    if stop[-1] <= PIECE_BYTES:
+        return [np.arange(len(size))]
+    gram = np.concatenate([windows(data[e - s : e])[:1] for s, e in zip(size.tolist(), stop.tolist())])
+    order = np.argsort(gram, kind="stable")
+    gram, reach = gram[order], np.cumsum(size[order])
+    first = np.append(True, gram[1:] != gram[:-1])
+    part = np.maximum.accumulate(np.where(first, (reach - size[order]) // PIECE_BYTES, 0))
+    return np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1)
+
+
 def decide(rows: list[tuple]) -> list[tuple]:
     """Contexts of one shard -> to each blob the rows of windows that go, as first and one after last."""
-    got = [(blob, *parted(data, "<u4", "<i8", "<u4", "<u2", "u1")) for blob, data in rows]
+    got = [(blob, *parted(restored(data), "<i8", "<u4", "<u2", "u1")) for blob, data in rows]
     blob = np.concatenate([np.full(len(g[1]), g[0], np.int64) for g in got])
-    sub, doc, start, n = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (1, 2, 3, 4))
+    doc, start, n = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (1, 2, 3))
     size = n + LENGTH - 1
     stop = np.cumsum(size)
-    data = b"".join(g[5].tobytes() for g in got)
-    order = np.argsort(sub, kind="stable")
-    reach = np.cumsum(size[order])
+    whole = np.concatenate([g[4] for g in got])
+    data = whole.tobytes()
     out: list[tuple] = []
-    a = 0
-    while a < len(order):
-        limit = (reach[a - 1] if a else 0) + PIECE_BYTES
-        b = max(a + 1, int(np.searchsorted(reach, limit, side="right")))
-        while b < len(order) and sub[order[b]] == sub[order[b - 1]]:
-            b += 1
-        mine = order[a:b]
-        a = b
+    for mine in pieces(whole, size, stop):
         number: dict[bytes, int] = {}
         of = np.fromiter((number.setdefault(data[e - s : e], len(number)) for s, e in zip(size[mine].tolist(), stop[mine].tolist())), np.int64, len(mine))
         contexts = list(number)
@@ -369,51 +369,55 @@ def decide(rows: list[tuple]) -> list[tuple]:
         owner, lo, hi = owner[by], place[opens][by], place[shuts][by] + 1
         at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
         for x, y in zip(at.tolist(), [*at[1:].tolist(), len(owner)]):
-            out.append((int(owner[x]), 0, int(owner[x]), joined(lo[x:y].astype("<u4"), hi[x:y].astype("<u4"))))
+            out.append((int(owner[x]), 0, int(owner[x]), joined(lo[x:y].astype("<u4"), (hi - lo)[x:y].astype("<u2"))))
     return out
 
 
 def decisions(batches):
     for _, rows in by_key(batches):
-        out = decide([(blob, data) for _, blob, data in rows])
+        mine = []
+        for kind, blob, data in rows:
+            if kind == 0:
+                mine.append((blob, data))
+            else:
+                yield table([(blob, 1, blob, data)])
+        out = decide(mine) if mine else []
         for a in range(0, len(out), 1024):
             yield table(out[a : a + 1024])
 
 
-def removal(blob: Blob, gone: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Which bytes of a blob go, from the rows of windows that the shards have sent."""
-    size = len(blob.bytes)
-    c = Contexts(blob)
+def removal(size: int, gone: list[tuple[np.ndarray, np.ndarray]], copies: list[list[np.ndarray]]) -> np.ndarray:
+    """Which bytes of a blob go: rows of windows that the shards have sent, and the blob's own copies."""
     edge = np.zeros(size + 1, np.int32)
-    for lo, hi in gone:
+    for lo, n in gone:
         np.add.at(edge, lo, 1)
-        np.add.at(edge, hi, -1)
+        np.add.at(edge, lo + n, -1)
     window = np.cumsum(edge[:-1]) > 0
-    other = np.flatnonzero(c.rep != np.arange(len(c.rep)))
-    rep = c.rep[other]
-    whole = other[c.id[other] > c.id[rep]]
-    same = c.id[other] == c.id[rep]
-    copied = window[stretches(c.start[rep[same]], c.n[other[same]])]
-    window[stretches(c.start[other[same]], c.n[other[same]])] |= copied
-    window[stretches(c.start[whole], c.n[whole])] = True
-    edge = np.zeros(size + 1, np.int32)
+    for rep, own, n, later in copies:
+        same, later = later == 0, later == 1
+        seen = window[stretches(rep[same], n[same])]
+        window[stretches(own[same], n[same])] |= seen
+        window[stretches(own[later], n[later])] = True
     flips = np.flatnonzero(np.diff(np.concatenate([[0], window.astype(np.int8), [0]])))
-    lo, hi = flips[::2], np.minimum(flips[1::2] + LENGTH - 1, size)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi, -1)
+    edge[:] = 0
+    np.add.at(edge, flips[::2], 1)
+    np.add.at(edge, np.minimum(flips[1::2] + LENGTH - 1, size), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def kept_texts(batches):
     """A blob's decisions, then the blob (kind 2) -> a row a document: sizes and the bytes that stay."""
     for _, rows in by_key(batches):
-        gone = []
+        gone, copies = [], []
         for kind, _, data in rows:
-            if kind < 2:
-                gone.append(tuple(x.astype(np.int64) for x in parted(data, "<u4", "<u4")))
+            if kind == 0:
+                gone.append(tuple(x.astype(np.int64) for x in parted(data, "<u4", "<u2")))
+                continue
+            if kind == 1:
+                copies.append([x.astype(np.int64) for x in parted(restored(data), "<u4", "<u4", "<u2", "u1")])
                 continue
             blob = Blob(data)
-            drop = removal(blob, gone) if len(blob.bytes) else np.zeros(0, bool)
+            drop = removal(len(blob.bytes), gone, copies)
             first = blob.ends - blob.sizes
             opens = drop & ~np.append(False, drop[:-1])
             opens[first[blob.sizes > 0]] = drop[first[blob.sizes > 0]]
@@ -441,9 +445,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_suffixes = shards or min(max(LEAST_SHARDS, size // SUFFIX_SHARD_BYTES), 1 << 20)
     held = blobs.select(F.col("blob").alias("k"), F.lit(2).alias("kind"), "blob", "data")
     grams = blobs.select("blob", "data").mapInArrow(send_grams(n_grams), ROWS)
-    shared = _dealt(grams).mapInArrow(shared_grams(hot_blobs), ROWS)
+    shared = cut(_dealt(grams).mapInArrow(shared_grams(hot_blobs), ROWS))
+    release(docs.sparkSession)
     contexts = _dealt(shared.unionByName(held)).mapInArrow(send_contexts(n_suffixes), ROWS)
-    gone = _dealt(contexts).mapInArrow(decisions, ROWS)
+    gone = cut(_dealt(contexts).mapInArrow(decisions, ROWS))
+    release(docs.sparkSession)
     out = _dealt(gone.unionByName(held)).mapInArrow(kept_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
