@@ -4,7 +4,8 @@ Every version of a text is addressed by the SHA-256 of its content. A blob is sc
 each version of the rules: pairs of blob and rule version that the ledger holds already are
 left out by an anti join, the rest are scanned, and findings are joined back to every path that
 has the blob. Copies meet in the map-side part of an aggregation, so a blob that a third of the
-rows share is shuffled once for each task. Only blobs with findings are joined back.
+rows share is shuffled once for each task. Only blobs with findings are joined back,
+salted, so that the versions of one blob are spread over tasks.
 
 Edge cases: null text is the empty blob and has no findings; copies and repeated rows have the
 findings of their blob; an empty table gives no rows; long texts are read whole; columns of the
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseforge.llm.common import fresh, quoted
 from clauseforge.llm.spans import found, listed, redacted
 
 RULE_VERSION = "2"
@@ -34,6 +36,8 @@ RULES = {
 }
 #: A text without any of these holds no added span.
 ADDED = r"gh[pousr]_|glpat-|xox[abprs]-|eyJ|-----BEGIN |://"
+#: The versions of one blob are dealt to so many tasks for the join with its findings.
+SALTS = 32
 FINDING = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -58,34 +62,39 @@ def blob_id(text: Column) -> Column:
 
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows (blob_id, rule_version, findings) of the pairs that ``ledger`` lacks."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = docs.select(text.alias("text"), blob_id(F.col(text_col)).alias("blob_id")).groupBy("blob_id").agg(F.first("text").alias("text"))
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    blobs = docs.select(text.alias("text"), blob_id(quoted(text_col)).alias("blob_id")).groupBy("blob_id").agg(F.first("text").alias("text"))
     blobs = blobs.withColumn("rule_version", F.lit(rule_version))
     if ledger is not None:
         blobs = blobs.join(ledger.select("blob_id", "rule_version"), ["blob_id", "rule_version"], "left_anti")
     return blobs.select("blob_id", "rule_version", scan(F.col("text")).alias("findings"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """``docs`` with _findings: the spans (s, k, e) of each row's blob, from the ledger or a new scan."""
+def findings(docs: DataFrame, out: str, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """``docs`` with a column ``out``: the spans (s, k, e) of each row's blob, from the ledger or a new scan."""
     rows = scan_blobs(docs, ledger, text_col, rule_version)
     if ledger is not None:
         rows = rows.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob_id", "rule_version", "findings"))
-    hits = rows.where(F.size("findings") > 0).select(F.col("blob_id").alias("_blob"), F.col("findings").alias("_findings"))
-    keyed = docs.withColumn("_blob", blob_id(F.col(text_col)))
-    return keyed.join(hits, "_blob", "left").withColumn("_findings", F.coalesce("_findings", F.array().cast(FINDING))).drop("_blob")
+    blob, salt = fresh(docs, "_blob", "_salt")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    hits = rows.where(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(out), each.alias(salt))
+    others = [c for c, kind in docs.dtypes if c != text_col and not kind.startswith(("map", "variant"))]
+    spread = F.pmod(F.xxhash64(*map(quoted, others)), F.lit(SALTS)) if others else F.lit(0)
+    keyed = docs.withColumn(blob, blob_id(quoted(text_col))).withColumn(salt, spread.cast("long"))
+    return keyed.join(hits, [blob, salt], "left").withColumn(out, F.coalesce(out, F.array().cast(FINDING))).drop(blob, salt)
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with every finding in the text replaced by its kind in brackets."""
-    names = F.array(*map(F.lit, KINDS))
-    text = redacted(F.col(text_col), F.col("_findings"), lambda x: F.concat(F.lit("["), F.get(names, x["k"]), F.lit("]")))
-    return findings(docs, ledger, text_col).withColumn(text_col, text).select(*docs.columns)
+    names, (out,) = F.array(*map(F.lit, KINDS)), fresh(docs, "_findings")
+    by_start = F.transform(out, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
+    text = redacted(quoted(text_col), by_start, lambda x: F.concat(F.lit("["), F.get(names, x["k"]), F.lit("]")))
+    return findings(docs, out, ledger, text_col).withColumn(text_col, text).select(*map(quoted, docs.columns))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, counts of the base kinds, the hash of the base spans, and all spans."""
-    rows = findings(docs.select(id_col, text_col), text_col=text_col)
+    rows = findings(docs.select(quoted(id_col), quoted(text_col)), "_findings", text_col=text_col)
     base = F.filter("_findings", lambda x: x["k"] < 3)
     count = lambda k: F.size(F.filter("_findings", lambda x: x["k"] == k)).cast("long")
     return rows.select(
