@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches
+from clauseforge.llm.common import bounded_batches, quoted
 
 #: Words of a worker's memo; a full memo becomes the older one, from which words in use come back.
 MEMO_WORDS = 300_000
@@ -210,6 +210,6 @@ def count_tokens(path: str, limit: int = 2048):
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """One row per row of ``docs``: (id, n_bytes, n_tokens, over_limit)."""
     bounded_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     out = kept.mapInArrow(count_tokens(path, limit), "id long, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

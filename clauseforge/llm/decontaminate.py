@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches
+from clauseforge.llm.common import bounded_batches, quoted
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -208,7 +208,7 @@ class Index:
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[list[tuple]]:
     """The items in blocks of about ``block_bytes`` of text."""
-    kept = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    kept = items.select(quoted(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     total = kept.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
     return [[(r.i, r.t) for r in kept.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).sort("i").collect()] for k in range(n)]
@@ -231,7 +231,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """One row for each document and item that it holds: (doc_id, item_id, passage, score, overlaps)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     out = spark.createDataFrame([], SCHEMA)
     for n, block in enumerate(item_blocks(items, item_id_col, item_text_col, block_bytes)):
         hits = kept.mapInArrow(_hits(spark.sparkContext.broadcast(Index(block))), SCHEMA)

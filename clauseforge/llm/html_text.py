@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches
+from clauseforge.llm.common import bounded_batches, quoted
 
 PATH_DIM, LEAF_DIM, WORD_DIM, SIZE_DIM = 128, 32, 16, 4
 DIM = PATH_DIM + LEAF_DIM + WORD_DIM + SIZE_DIM
@@ -291,6 +291,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     bounded_batches(spark)
     model = model or fit(pages, id_col, html_col)
-    kept = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    kept = pages.select(quoted(id_col).cast("long").alias("id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"))
     rows = kept.mapInArrow(_extract(spark.sparkContext.broadcast(model)), "id long, url string, text string, n_chars long")
     return rows.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

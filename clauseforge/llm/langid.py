@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches
+from clauseforge.llm.common import bounded_batches, quoted
 
 #: Labelled rows of the sample, at most about so many.
 FIT_DOCS = 10_000
@@ -136,6 +136,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     bounded_batches(spark)
     out = is_held_out(F.col(id_col))
     model = fit(sample(docs.where(~out & F.col(lang_col).isNotNull()), id_col, fit_docs), lang_col, text_col)
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).cast("long").alias("id"), out.alias("held_out"), quoted(text_col).alias("text"))
     rows = kept.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "id long, held_out boolean, lang_pred string, score double")
     return rows.withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseforge.llm.bpe import encoder
-from clauseforge.llm.common import bounded_batches
+from clauseforge.llm.common import bounded_batches, quoted
 
 TIERS = (4096, 2048, 1024, 512, 256)
 END_ID = 2
@@ -150,5 +150,5 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers.
     """
     bounded_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     return kept.mapInArrow(pack_partition(path, end_id, tiers, step_tokens), SCHEMA).withColumnRenamed("id", id_col)

@@ -6,8 +6,8 @@ large a share of its words to them is rejected, as is one that fails the base ru
 or repeated five-word windows. Everything happens inside a row: no shuffle, no Python.
 
 Edge cases: null text has no words and fails; empty text likewise; repeated rows are judged one
-by one; lines without a word are neither counted nor judged; other columns pass through only
-where the caller keeps them (``clean`` does), under any name but the two it is given.
+by one; lines without a word are neither counted nor judged; ``clean`` passes other
+columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import let
+from clauseforge.llm.common import fresh, let, quoted
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,17 +78,17 @@ def line_passes(line: Column) -> Column:
     return ~(scrap | noise | shouting | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | stutter)
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _words, _lines (those with a word) and _good (those that pass)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_words", words_of(text)).withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.withColumn("_good", F.filter("_lines", line_passes))
+def judged(docs: DataFrame, text: Column, words: str, lines: str, good: str) -> DataFrame:
+    """``docs`` with the words, the lines that hold a word, and those of them that pass."""
+    text = F.coalesce(text, F.lit(""))
+    out = docs.withColumn(words, words_of(text)).withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return out.withColumn(good, F.filter(lines, line_passes))
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, the base counts, base_failed, kept, clean_text."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    kept = judged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    kept = judged(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), F.col("_text"), "_words", "_lines", "_good")
     base = kept.select(
         F.col("_id").alias(id_col),
         F.size("_words").cast("long").alias("n_words"),
@@ -106,9 +106,9 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, all their columns, with failing lines taken out of the text."""
-    columns = docs.columns
-    out = judged(docs, text_col)
-    n, repeated = F.size("_words"), repeat_words(F.col("_words"))
-    lost = n - n_words(F.array_join("_good", "\n"))
+    words, lines, good = fresh(docs, "_words", "_lines", "_good")
+    out = judged(docs, quoted(text_col), words, lines, good)
+    n, repeated = F.size(words), repeat_words(F.col(words))
+    lost = n - n_words(F.array_join(good, "\n"))
     out = out.where((n >= MIN_WORDS) & (repeated * 100 <= n * MAX_REPEAT_PERCENT) & (lost <= n * MAX_LOST))
-    return out.withColumn(text_col, F.array_join("_good", "\n")).select(*columns)
+    return out.withColumn(text_col, F.array_join(good, "\n")).select(*map(quoted, docs.columns))

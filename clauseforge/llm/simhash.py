@@ -15,7 +15,7 @@ no size bound.
 
 Edge cases: null and empty texts have fingerprint zero, linked like any other; a text with fewer
 words than a shingle is one shingle; copies and repeated ids are members of one class; an empty
-table gives no row; other columns of the input are not looked at.
+table gives no row; rows without an id are kept; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches, cut
+from clauseforge.llm.common import bounded_batches, cut, fresh, quoted
 
 SHINGLE = 3
 SEED = 42
@@ -63,7 +63,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) per row of ``docs``; fp is the fingerprint as a signed long."""
     bounded_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     return kept.mapInArrow(_fingerprints, "id long, fp long")
 
 
@@ -247,7 +247,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the least id of their component; of rows that repeat an id, one."""
     rows = cut(grouped(docs, id_col, text_col).select("id", "component"))
-    gone = rows.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = rows.where("id <> component").select(F.col("id").alias(name)).distinct()
+    out = docs.join(gone, quoted(id_col) == F.col(name), "left_anti")
     ids = rows.where("id = component").groupBy("id").count().where("count > 1")
     return out if ids.isEmpty() else out.dropDuplicates([id_col])
