@@ -51,20 +51,28 @@ def distinct_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.posexplode(F.array_distinct(T.tokens("question"))).alias("ord", "term"))
 
 
-def bm25_scores(chunks: DataFrame, terms: DataFrame, text_col: str = "indexed", k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, pos, score) of every chunk that shares a term with a question."""
-    stats = I.corpus_stats(chunks, text_col)
-    posts = I.postings(chunks, text_col, only=terms)
-    idf = I.term_stats(posts, stats)
+def bm25_scores(chunks: DataFrame, terms: DataFrame, text_col: str = "indexed", k1: float = K1, b: float = B, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(qid, pos, score) of every chunk that shares a term with a question.
+
+    With the ``tables`` of a stored index only the postings of the questions' terms are read;
+    without, the chunks are tokenised and other terms dropped before the shuffle.
+    """
+    if tables is not None:
+        stats, idf, posts = tables["stats"], tables["terms"], tables["postings"]
+    else:
+        stats = I.corpus_stats(chunks, text_col)
+        posts = I.postings(chunks, text_col, only=terms)
+        idf = I.term_stats(posts, stats)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    rows = posts.join(idf.select("term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    return rows.select("pos", "term", gain.alias("gain")).join(terms, "term").groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
+    gain = F.col("w") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
+    asked = terms.join(idf.select("term", "idf"), "term")
+    rows = posts.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    return rows.groupBy("qid", "pos").agg(F.sum(gain).alias("score"))
 
 
-def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, expansions: DataFrame | None = None, text_col: str = "indexed") -> DataFrame:
+def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, expansions: DataFrame | None = None, text_col: str = "indexed", tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """(qid, pos, score, rank), scores above zero only."""
-    return ranked(bm25_scores(chunks, query_terms(questions, expansions), text_col).where("score > 0"), k)
+    return ranked(bm25_scores(chunks, query_terms(questions, expansions), text_col, tables=tables).where("score > 0"), k)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -113,14 +121,19 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(out, k)
 
 
-def tfidf_search(chunks: DataFrame, questions: DataFrame, k: int, text_col: str = "indexed", min_df: int = 2, max_df: float = 0.6) -> DataFrame:
+def tfidf_search(chunks: DataFrame, questions: DataFrame, k: int, text_col: str = "indexed", min_df: int = 2, max_df: float = 0.6, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """(qid, pos, score, rank) by the cosine of TF-IDF rows; question terms outside the kept ones are dropped."""
-    posts = I.postings(chunks, text_col)
-    n = I.corpus_stats(chunks, text_col)
-    weights = I.tfidf(posts, n, min_df, max_df)
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n.select("n")))
+    if tables is not None:
+        weights, n, df = tables["weights"], tables["stats"], tables["terms"].select("term", "df")
+    else:
+        posts = I.postings(chunks, text_col)
+        n = I.corpus_stats(chunks, text_col)
+        weights = I.tfidf(posts, n, min_df, max_df)
+        df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    terms = query_terms(questions)
+    df = df.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(n.select("n")))
     idf = df.where((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = query_terms(questions).join(idf, "term").select("qid", "term", ((1 + F.log("w")) * F.col("idf")).alias("v"))
+    q = terms.join(idf, "term").select("qid", "term", ((1 + F.log("w")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("qid")))
     q = q.select("qid", "term", (F.col("v") / F.greatest(norm, F.lit(1e-9))).alias("v"))
     return ranked(weights.join(q, "term").groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("score")), k)
@@ -261,9 +274,10 @@ def missing_specs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return references(questions)[0].join(chunks.select("spec_id").distinct(), "spec_id", "left_anti").select("qid", "spec_id")
 
 
-def unknown_terms(questions: DataFrame, chunks: DataFrame, text_col: str = "indexed", least: int = MIN_VOCABULARY) -> DataFrame:
+def unknown_terms(questions: DataFrame, chunks: DataFrame, text_col: str = "indexed", least: int = MIN_VOCABULARY, vocabulary: DataFrame | None = None) -> DataFrame:
     """(qid, ord, term): terms shaped like names that no chunk has; none if the vocabulary is small."""
-    vocabulary = I.tokenised(chunks, text_col).select(F.explode("tokens").alias("term")).distinct()
+    if vocabulary is None:
+        vocabulary = I.tokenised(chunks, text_col).select(F.explode("tokens").alias("term")).distinct()
     size = vocabulary.agg(F.count("*").alias("size"))
     capitals = F.transform(F.regexp_extract_all("question", F.lit(r"\b[A-Z][A-Za-z0-9\-]*\b"), F.lit(0)), F.lower)
     asked = questions.select("qid", F.posexplode(F.array_distinct(T.tokens("question"))).alias("ord", "term"), capitals.alias("capitals"))
@@ -290,6 +304,7 @@ def retrieve(
     cap: int = 2,
     window: int = 1,
     text_col: str = "indexed",
+    tables: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Final hits of all questions: (qid, rank, pos, spec_id, clause, score, fusion, overlap, pinned).
 
@@ -298,9 +313,9 @@ def retrieve(
     """
     lists = []
     if mode in ("hybrid", "bm25"):
-        lists.append((bm25_search(chunks, questions, candidates, expansions, text_col), 1.0))
+        lists.append((bm25_search(chunks, questions, candidates, expansions, text_col, tables), 1.0))
     if mode in ("hybrid", "dense"):
-        lists.append((tfidf_search(chunks, questions, candidates, text_col) if second is None else second, 1.0))
+        lists.append((tfidf_search(chunks, questions, candidates, text_col, tables=tables) if second is None else second, 1.0))
     if not lists:
         raise ValueError(f"unknown mode: {mode}")
     named, clauses = references(questions)

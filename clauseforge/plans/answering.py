@@ -13,6 +13,7 @@ from clauseforge.operators import verify as V
 from clauseforge.plans import sql as S
 from clauseforge.plans.registry import query
 from clauseforge.plans.search import chunks, hits, question_idf, questions, six
+from clauseforge.session import settled
 
 SIGNALS = """sig AS (SELECT q.qid, coalesce(max(h.score) FILTER (WHERE h.rank = 1), 0) AS top, coalesce(avg(h.score) FILTER (WHERE h.rank BETWEEN 2 AND 3), 0) AS support, coalesce(max(h.overlap) FILTER (WHERE h.rank <= 3), 0) AS overlap, count(h.pos) AS hits FROM questions q LEFT JOIN hits h USING (qid) GROUP BY q.qid)"""
 
@@ -32,8 +33,8 @@ def a1_gate(spark, sf_dir):
     return g.select("qid", "answerable", F.substring_index("reason", " ", 1).alias("rule"), F.round(0.60 * F.col("top") + 0.25 * F.col("support") + 0.15 * F.col("overlap"), 3).alias("confidence"))
 
 
-def context(spark, sf_dir):
-    rows = hits(spark, sf_dir).join(chunks(spark, sf_dir).select("pos", "text", "indexed"), "pos")
+def context(spark, sf_dir, found=None):
+    rows = (hits(spark, sf_dir) if found is None else found).join(chunks(spark, sf_dir).select("pos", "text", "indexed"), "pos")
     block = F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("] "), "indexed")
     return A.within_budget(rows, block)
 
@@ -88,10 +89,11 @@ def a7_extractive(spark, sf_dir):
 @query("a10_answers")
 def a10_answers(spark, sf_dir):
     """Gate, extractive lines, claims, verification and assembly for every benchmark question."""
-    q, used = questions(spark, sf_dir), context(spark, sf_dir)
-    raw = lines(spark, sf_dir).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line", "text"))), lambda x: x["text"]), "\n").alias("answer"))
-    verdicts = V.verified(V.claims(raw), used.select("qid", "n", F.col("indexed").alias("text")), question_idf(spark, sf_dir))
-    return A.assembled(q, A.gate(A.signals(q, hits(spark, sf_dir))), verdicts)
+    q, h, idf = questions(spark, sf_dir), settled(hits(spark, sf_dir)), settled(question_idf(spark, sf_dir))
+    used = settled(context(spark, sf_dir, h))
+    raw = A.extractive(used, R.weighted_terms(q, idf)).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line", "text"))), lambda x: x["text"]), "\n").alias("answer"))
+    verdicts = V.verified(settled(V.claims(raw)), used.select("qid", "n", F.col("indexed").alias("text")), idf)
+    return A.assembled(q, A.gate(A.signals(q, h)), settled(verdicts))
 
 
 ANSWERS = "SELECT conv_id * 1000 + turn AS qid, '- ' || text || ' [S1][S' || (1 + turn % 3) || ']' || chr(10) || '* plain line [S2] ' AS answer FROM conversations WHERE role = 'assistant'"

@@ -13,7 +13,7 @@ FORMAT = 2
 
 
 def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, reverse: DataFrame | None = None, text_col: str = "indexed", mode: str = "errorifexists") -> None:
-    """Write chunks, postings, term statistics, corpus statistics, lexicon and meta below ``path``.
+    """Write chunks, postings, TF-IDF weights, term statistics, corpus statistics, lexicon and meta below ``path``.
 
     Postings are clustered by term, so that a question reads few row groups. ValueError if there
     is no chunk.
@@ -27,6 +27,8 @@ def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, revers
     posts = spark.read.parquet(f"{path}/postings")
     I.corpus_stats(chunks, text_col).write.mode(mode).parquet(f"{path}/stats")
     I.term_stats(posts, spark.read.parquet(f"{path}/stats")).sort("term").write.mode(mode).parquet(f"{path}/terms")
+    weights = I.tfidf(posts, spark.read.parquet(f"{path}/stats"))
+    weights.repartitionByRange("term").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
     for name, table, schema in (("lexicon", forward, "acronym string, expansion string, ord long"), ("reverse", reverse, "phrase string, acronym string")):
         (spark.createDataFrame([], schema) if table is None else table).write.mode(mode).parquet(f"{path}/{name}")
     meta = spark.createDataFrame([(FORMAT, datetime.now(timezone.utc).isoformat(timespec="seconds"))], "format int, built_at string")
@@ -43,7 +45,7 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         raise FileNotFoundError(f"no index at {path}") from e
     if meta is None or meta.format != FORMAT:
         raise ValueError(f"the index at {path} is of format {meta and meta.format}, not {FORMAT}; build it again")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "terms", "stats", "lexicon", "reverse")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "weights", "terms", "stats", "lexicon", "reverse")}
 
 
 def specs(chunks: DataFrame) -> DataFrame:
