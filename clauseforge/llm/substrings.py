@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches, cut, release
+from clauseforge.llm.common import bounded_batches, cut, release, quoted
 from clauseforge.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -257,8 +257,10 @@ def shared_grams(hot_blobs: int):
             out = []
             for blob, g in zip(blobs, grams):
                 for kind, known in ((0, some), (1, hot)):
-                    if len(mine := g[np.isin(g, known)]) if len(known) else False:
-                        out.append((blob, kind, blob, narrow(mine)))
+                    if len(known):
+                        mine = g[known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g]
+                        if len(mine):
+                            out.append((blob, kind, blob, narrow(mine)))
             if out:
                 yield table(out)
 
@@ -308,7 +310,7 @@ def send_contexts(shards: int):
 
 
 def least_ids(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """For each byte place of the distinct contexts, joined by one separator, the least id of its window's group."""
+    """For each place of the contexts, joined by one separator, the least id of its window's group."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     text = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
     stops = np.cumsum(sizes + 1) - 1
@@ -325,11 +327,11 @@ def least_ids(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(data: np.ndarray, size: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+def pieces(whole: np.ndarray, size: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     """The contexts in parts of about PIECE_BYTES that have no gram in common."""
     if stop[-1] <= PIECE_BYTES:
         return [np.arange(len(size))]
-    gram = np.concatenate([windows(data[e - s : e])[:1] for s, e in zip(size.tolist(), stop.tolist())])
+    gram = windows(whole)[stop - size]
     order = np.argsort(gram, kind="stable")
     gram, reach = gram[order], np.cumsum(size[order])
     first = np.append(True, gram[1:] != gram[:-1])
@@ -337,8 +339,27 @@ def pieces(data: np.ndarray, size: np.ndarray, stop: np.ndarray) -> list[np.ndar
     return np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1)
 
 
+def least_by_window(contexts: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each window of the distinct contexts the least id that has it.
+
+    A context whose gram no other one has holds windows of its own only; all others are compared
+    by their suffix array.
+    """
+    size = n + LENGTH - 1
+    gram = windows(np.frombuffer(b"".join(contexts), np.uint8))[np.cumsum(size) - size]
+    _, of, times = np.unique(gram, return_inverse=True, return_counts=True)
+    met = np.flatnonzero(times[of] > 1)
+    out = np.repeat(ids, n)
+    if len(met):
+        least = least_ids([contexts[k] for k in met.tolist()], ids[met])
+        first = np.cumsum(size[met] + 1) - size[met] - 1
+        base = np.cumsum(n) - n
+        out[stretches(base[met], n[met])] = least[stretches(first, n[met])]
+    return out
+
+
 def decide(rows: list[tuple]) -> list[tuple]:
-    """Contexts of one shard -> to each blob the rows of windows that go, as first and one after last."""
+    """Contexts of one shard -> to each blob the rows of windows that go: the first, and how many."""
     got = [(blob, *parted(restored(data), "<i8", "<u4", "<u2", "u1")) for blob, data in rows]
     blob = np.concatenate([np.full(len(g[1]), g[0], np.int64) for g in got])
     doc, start, n = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (1, 2, 3))
@@ -353,10 +374,11 @@ def decide(rows: list[tuple]) -> list[tuple]:
         contexts = list(number)
         ids = np.full(len(contexts), NO_ID, np.int64)
         np.minimum.at(ids, of, doc[mine])
-        least = least_ids(contexts, ids)
-        first = np.cumsum([0, *(len(c) + 1 for c in contexts)])[:-1]
+        windows_of = np.fromiter(map(len, contexts), np.int64, len(contexts)) - (LENGTH - 1)
+        least = least_by_window(contexts, ids, windows_of)
+        base = np.cumsum(windows_of) - windows_of
         k = n[mine]
-        gone = least[stretches(first[of], k)] < np.repeat(doc[mine], k)
+        gone = least[stretches(base[of], k)] < np.repeat(doc[mine], k)
         place = stretches(start[mine], k)
         edge = np.cumsum(k) - k
         before = np.append(False, gone[:-1])
@@ -438,7 +460,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blob_bytes: int = BLOB_BYTES, hot_blobs: int = HOT_BLOBS, shards: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) per row of ``docs``; kept holds the bytes that stay."""
     bounded_batches(docs.sparkSession)
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    pairs = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     blobs = cut(pairs.mapInArrow(blobs_of(blob_bytes), "blob long, n_bytes long, data binary"))
     size = blobs.agg(F.sum("n_bytes")).first()[0] or 0
     n_grams = shards or min(max(LEAST_SHARDS, size // GRAM_SHARD_BYTES), 1 << 20)
