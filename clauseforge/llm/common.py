@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,15 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return place
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the shared folder."""
+def cut(df: DataFrame, spent: bool = False) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder.
+
+    ``spent``: nothing else reads what ``df`` was made from, so its shuffle files are dropped at once.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished steps now, not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out = df.checkpoint(eager=True)
+    if spent:
+        df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+    return out

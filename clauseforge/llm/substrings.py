@@ -34,14 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches, cut, release, quoted
+from clauseforge.llm.common import bounded_batches, cut, quoted
 from clauseforge.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 16
 BLOB_BYTES = 2 << 20
 #: Bytes of text for which one more shard of grams or contexts is made.
-GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES, LEAST_SHARDS = 64 << 20, 8 << 20, 256
+GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES = 64 << 20, 8 << 20
+#: Small inputs have a shard for each so many bytes, up to so many shards.
+SMALL_SHARD_BYTES, SMALL_SHARDS = 256 << 10, 256
 PIECE_BYTES = 8 << 20
 #: Grams are hashed in parts that stay in a core's cache.
 PART_BYTES = 128 << 10
@@ -463,15 +465,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     blobs = cut(pairs.mapInArrow(blobs_of(blob_bytes), "blob long, n_bytes long, data binary"))
     size = blobs.agg(F.sum("n_bytes")).first()[0] or 0
-    n_grams = shards or min(max(LEAST_SHARDS, size // GRAM_SHARD_BYTES), 1 << 20)
-    n_suffixes = shards or min(max(LEAST_SHARDS, size // SUFFIX_SHARD_BYTES), 1 << 20)
+    least = min(SMALL_SHARDS, size // SMALL_SHARD_BYTES + 1)
+    n_grams = shards or min(max(least, size // GRAM_SHARD_BYTES), 1 << 20)
+    n_suffixes = shards or min(max(least, size // SUFFIX_SHARD_BYTES), 1 << 20)
     held = blobs.select(F.col("blob").alias("k"), F.lit(2).alias("kind"), "blob", "data")
     grams = blobs.select("blob", "data").mapInArrow(send_grams(n_grams), ROWS)
-    shared = cut(_dealt(grams).mapInArrow(shared_grams(hot_blobs), ROWS))
-    release(docs.sparkSession)
+    shared = cut(_dealt(grams).mapInArrow(shared_grams(hot_blobs), ROWS), spent=True)
     contexts = _dealt(shared.unionByName(held)).mapInArrow(send_contexts(n_suffixes), ROWS)
-    gone = cut(_dealt(contexts).mapInArrow(decisions, ROWS))
-    release(docs.sparkSession)
+    gone = cut(_dealt(contexts).mapInArrow(decisions, ROWS), spent=True)
     out = _dealt(gone.unionByName(held)).mapInArrow(kept_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
