@@ -236,3 +236,17 @@ SELECT qid, term FROM asked WHERE (regexp_matches(term, '[0-9-]') OR list_contai
 def q20_unknown_terms(spark, sf_dir):
     q = questions(spark, sf_dir).withColumn("question", F.concat(F.lit("Zzyzx T9999 zz-top "), F.regexp_replace("question", "[^ -~]", "x")))
     return R.unknown_terms(q, chunks(spark, sf_dir)).select("qid", "term")
+
+
+@query("s10_stored_index", f"WITH {S.HITS} SELECT qid, rank, pos, round(score, 6) AS score FROM hits")
+def s10_stored_index(spark, sf_dir):
+    """Write an index to the shared folder, read it again, and answer from its tables alone."""
+    import uuid
+
+    from clauseforge.session import shared_folder
+    from clauseforge.sources import store
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    store.build(chunks(spark, sf_dir), path)
+    tables = store.load(spark, path)
+    return R.retrieve(tables["chunks"], questions(spark, sf_dir), tables["terms"], tables=tables).select("qid", "rank", "pos", six("score"))

@@ -28,9 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share; an own one only if none is named."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the cluster's shared folder: for small results that many plans read."""
+    """``df`` from a checkpoint in the shared folder: for small results that many plans read."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
