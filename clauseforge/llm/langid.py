@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseforge.llm.common import bounded_batches, quoted
+from clauseforge.llm.common import bounded_batches, cut, quoted
 
 #: Labelled rows of the sample, at most about so many.
 FIT_DOCS = 10_000
@@ -45,7 +45,7 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", words_
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     word = F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)))
     words = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), word.alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
-    words = words.withColumn("o", F.lit(0))
+    words = cut(words.withColumn("o", F.lit(0)))
     marked = F.concat(F.lit("<"), F.col("x"), F.lit(">"))
     parts = [words]
     for order in ORDERS:
@@ -56,6 +56,7 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", words_
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    every = cut(every)  # counts of a bounded sample
     rank = F.row_number().over(Window.partitionBy("lang", "o").orderBy(F.desc("n"), "x"))
     totals = every.groupBy("lang", "o").agg(F.sum("n").alias("total"))
     kept = every.withColumn("r", rank).where(F.col("r") <= F.when(F.col("o") == 0, words_kept).otherwise(grams_kept))
@@ -76,40 +77,43 @@ class Model:
             (self.known if order == 0 else self.grams[order])[x] = len(rows)
             total = [totals.get((order, lang), 0) for lang in self.langs]
             rows.append([math.log((by.get(lang, 0) + 0.1) / (t + 1)) for lang, t in zip(self.langs, total)])
-        self.table = np.array(rows, np.float32).reshape(len(rows), len(self.langs))
+        table = np.array(rows, np.float32).reshape(len(rows), len(self.langs))
         #: Only differences between languages matter, so each entry is kept relative to its mean.
-        self.table -= self.table.mean(axis=1, keepdims=True) if len(rows) else 0
-        self.memo: dict[str, np.ndarray] = {}
+        self.size, self.table = len(rows), table - (table.mean(axis=1, keepdims=True) if len(rows) else 0)
+        self.met: dict[str, int] = {}
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the word's n-grams of the longest order that the model knows."""
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got, marked = np.zeros(len(self.langs), np.float32), f"<{word}>"
-            for order in ORDERS:
-                source, table = (marked if order > 1 else word), self.grams[order]
-                rows = [table[g] for i in range(len(source) - order + 1) if (g := source[i : i + order]) in table]
-                if rows:
-                    got = self.table[rows].mean(axis=0)
-                    break
-            self.memo[word] = got
-        return got
+        marked = f"<{word}>"
+        for order in ORDERS:
+            source, table = (marked if order > 1 else word), self.grams[order]
+            rows = [table[g] for i in range(len(source) - order + 1) if (g := source[i : i + order]) in table]
+            if rows:
+                return self.table[rows].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
+
+    def rows_of(self, words: list[str]) -> list[int]:
+        """A row of the table for each word; rows of unseen words are made once and kept up to a bound."""
+        if len(self.met) > MEMO or not self.met:
+            self.met, self.table = dict(self.known), self.table[: self.size]
+            self.spare = self.size
+        new = {w for w in words if w not in self.met}
+        if new:
+            if self.spare + len(new) > len(self.table):
+                more = np.zeros((len(new) + MEMO // 4, len(self.langs)), np.float32)
+                self.table = np.concatenate([self.table[: self.spare], more])
+            for w in new:
+                self.table[self.spare] = self.backoff(w)
+                self.met[w] = self.spare
+                self.spare += 1
+        return list(map(self.met.__getitem__, words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = LETTERS.findall(text.lower()) if text else []
         if not self.langs or not any(map(str.isalpha, found)):
             return "und", 0.0
-        times = Counter(found)
-        known = [(k, n) for w, n in times.items() if (k := self.known.get(w)) is not None]
-        total = np.zeros(len(self.langs))
-        if known:
-            rows, n = np.array(known).T
-            total += n @ self.table[rows]
-        for w, n in times.items():
-            if w not in self.known:
-                total += n * self.backoff(w)
+        rows = self.rows_of(found)
+        total = self.table[rows].sum(axis=0, dtype=np.float64)
         mean = total / math.sqrt(len(found))
         odds = np.exp(mean - mean.max())
         best = int(np.argmax(total))
