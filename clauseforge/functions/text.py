@@ -31,6 +31,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, also where lambdas inside use it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column | str, keep_stopwords: bool = False) -> Column:
     """Index tokens in order: each whole identifier, then its parts; stop-words left out unless kept."""
     wanted = (lambda t: F.lit(True)) if keep_stopwords else (lambda t: ~t.isin(STOPWORDS))

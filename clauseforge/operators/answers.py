@@ -76,7 +76,7 @@ def quotable(text: Column) -> Column:
 def extractive(hits: DataFrame, terms: DataFrame, limit: int = 3, per_hit: int = 2) -> DataFrame:
     """(qid, n, line, text): of each of the first hits (qid, n, text) the best sentences, with their marker."""
     rows = hits.where(F.col("n") <= limit).join(terms, "qid", "left").select("qid", "n", "terms", F.posexplode(quotable(F.col("text"))).alias("ord", "sentence"))
-    score = F.coalesce(total(F.col("terms"), lambda t: F.lower("sentence").contains(t["term"])), F.lit(0.0))
+    score = F.coalesce(T.once(F.lower("sentence"), lambda s: total(F.col("terms"), lambda t: s.contains(t["term"]))), F.lit(0.0))
     order = Window.partitionBy("qid", "n").orderBy(nine("score").desc(), "ord")
     best = rows.withColumn("score", score).withColumn("line", F.row_number().over(order).cast("long")).where(F.col("line") <= per_hit)
     return best.select("qid", "n", "line", F.concat("sentence", F.lit(" [S"), F.col("n").cast("string"), F.lit("]")).alias("text"))

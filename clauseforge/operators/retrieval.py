@@ -31,6 +31,11 @@ def nine(score: Column | str) -> Column:
     return F.round(score, 9)
 
 
+def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` to be broadcast if it has ``rows`` rows at most; else as it is, and the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ranked(scores: DataFrame, k: int | None = None, by: str = "qid") -> DataFrame:
     """``scores`` (qid, pos, score) with rank; the first ``k`` of each question."""
     order = Window.partitionBy(by).orderBy(nine("score").desc(), "pos")
@@ -66,7 +71,8 @@ def bm25_scores(chunks: DataFrame, terms: DataFrame, text_col: str = "indexed",
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     gain = F.col("w") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     asked = terms.join(idf.select("term", "idf"), "term")
-    rows = posts.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    # Of a stored index a few rows a question are read, so their number is soon checked and postings stay in place.
+    rows = posts.join(asked if tables is None else sized(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     return rows.groupBy("qid", "pos").agg(F.sum(gain).alias("score"))
 
 
@@ -136,7 +142,7 @@ def tfidf_search(chunks: DataFrame, questions: DataFrame, k: int, text_col: str
     q = terms.join(idf, "term").select("qid", "term", ((1 + F.log("w")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("qid")))
     q = q.select("qid", "term", (F.col("v") / F.greatest(norm, F.lit(1e-9))).alias("v"))
-    return ranked(weights.join(q, "term").groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("score")), k)
+    return ranked(weights.join(q if tables is None else sized(q), "term").groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("score")), k)
 
 
 # --- fusion and structure ---------------------------------------------------------------------
@@ -226,21 +232,25 @@ def total(terms: Column, good=None) -> Column:
 def overlap(terms: Column, text: Column) -> Column:
     """The idf-weighted share of the terms that occur in the lower-cased text as substrings."""
     whole = total(terms)
-    return F.when(F.size(terms) > 0, total(terms, lambda t: text.contains(t["term"])) / F.when(whole == 0, 1.0).otherwise(whole)).otherwise(0.0)
+    share = T.once(text, lambda body: total(terms, lambda t: body.contains(t["term"])))
+    return F.when(F.size(terms) > 0, share / F.when(whole == 0, 1.0).otherwise(whole)).otherwise(0.0)
 
 
 def lexical_score(question: Column, terms: Column, text: Column) -> Column:
     """Between 0 and 1: coverage, bigrams, terms in the heading, and the whole question, all as substrings."""
-    body = F.lower(text)
-    n = F.size(terms)
-    head = F.substring_index(body, "\n\n", 1)
+    n, q = F.size(terms), F.lower(question)
     pairs = F.transform(F.slice(terms, 1, F.greatest(n - 1, F.lit(0))), lambda t, i: F.concat(t["term"], F.lit(" "), F.get(terms, i + 1)["term"]))
-    phrase = F.size(F.filter(pairs, lambda p: body.contains(p))) / F.greatest(F.size(pairs), F.lit(1))
-    heading = F.size(F.filter(terms, lambda t: body.contains(t["term"]) & head.contains(t["term"]))) / F.greatest(n, F.lit(1))
-    q = F.lower(question)
-    exact = F.when((F.length(q) > 12) & body.contains(q), 0.15).otherwise(0.0)
-    raw = 0.62 * overlap(terms, body) + 0.18 * phrase + 0.20 * heading + exact
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(0.0)
+
+    def raw(both: Column) -> Column:
+        body, head = both["body"], both["head"]
+        phrase = F.size(F.filter(pairs, lambda p: body.contains(p))) / F.greatest(F.size(pairs), F.lit(1))
+        heading = F.size(F.filter(terms, lambda t: body.contains(t["term"]) & head.contains(t["term"]))) / F.greatest(n, F.lit(1))
+        exact = F.when((F.length(q) > 12) & body.contains(q), 0.15).otherwise(0.0)
+        return 0.62 * overlap(terms, body) + 0.18 * phrase + 0.20 * heading + exact
+
+    lower = F.lower(text)
+    score = T.once(F.struct(lower.alias("body"), F.substring_index(lower, "\n\n", 1).alias("head")), raw)
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0)
 
 
 def scored(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, idf: DataFrame, rerank: bool = True, text_col: str = "indexed") -> DataFrame:
