@@ -17,6 +17,7 @@ STOPWORDS = (
     "such other any all each per via into over under between within"
 ).split()
 
+#: The token, clause and annex grammars.
 TOKEN = r"[a-z0-9]++(?:[-.][a-z0-9]++)*+"
 SIZING_TOKEN = r"[A-Za-z0-9]++(?:[-.'][A-Za-z0-9]++)*+"
 WORD = r"[A-Za-z0-9]++(?:[-'][A-Za-z0-9]++)*+"
@@ -65,7 +66,7 @@ def sigmoid(x: Column | str) -> Column:
 
 
 def model_prefix(model: str, query: bool) -> str:
-    """What text models of two families expect in front of a query or a passage."""
+    """What text models of two families expect in front of a query or a passage (fixed values)."""
     name = model.lower()
     if "e5" in name:
         return "query: " if query else "passage: "

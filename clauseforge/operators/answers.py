@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauseforge.functions import text as T
 from clauseforge.operators.retrieval import nine, total
 
+#: Thresholds of the gate and the verifier, sizes of contexts and quotes.
 MIN_TOP, MIN_SUPPORT, MIN_OVERLAP, MIN_CLAIM_SUPPORT = 0.20, 0.18, 0.08, 0.45
 CONTEXT_CHARS = 14_000
 QUOTE_CHARS = (40, 400)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clauseforge.functions import text as T
 from clauseforge.operators import index as I
 
+#: Weights, bounds and patterns that results depend on.
 K1, B = 1.4, 0.72
 EXPANSION_WEIGHT = 0.45
 UNKNOWN_IDF = 6.0

@@ -10,7 +10,7 @@ from clauseforge.operators.answers import MIN_CLAIM_SUPPORT
 from clauseforge.operators.retrieval import UNKNOWN_IDF
 
 MARKER = r"\[S(\d+)\]"
-#: Patterns of tokens that a claim may not invent, in the order in which they are listed.
+#: Patterns of tokens that a claim may not invent, in the order in which they are listed.
 HARD = (
     r"(?Ui)\b(?:TS|TR)\s?\d{2}\.\d{3}\b",
     r"(?U)\bT\d{3,4}[A-Za-z]?\b",
