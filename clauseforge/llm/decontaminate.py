@@ -24,11 +24,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseforge.llm.common import bounded_batches, quoted
@@ -240,11 +241,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def _leaks(index):
-    def run(series):
+    @F.pandas_udf("boolean")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
             yield pd.Series([bool(m) for m in index.value.scan(texts.tolist())], dtype=bool)
 
-    run.__annotations__ = {}
     return run
 
 
@@ -253,6 +254,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     spark = docs.sparkSession
     bounded_batches(spark)
     for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-        leaks: Column = F.pandas_udf(_leaks(spark.sparkContext.broadcast(Index(block))), "boolean", F.PandasUDFType.SCALAR_ITER)(F.col(text_col))
-        docs = docs.where(~leaks)
+        docs = docs.where(~_leaks(spark.sparkContext.broadcast(Index(block)))(quoted(text_col)))
     return docs
