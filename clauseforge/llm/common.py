@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@lru_cache(maxsize=1)
+def own_folder() -> str:
+    return tempfile.mkdtemp()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; an own one only if none is named."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp()
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
 
 
 def cut(df: DataFrame, spent: bool = False) -> DataFrame:
