@@ -15,7 +15,8 @@ no size bound.
 
 Edge cases: null and empty texts have fingerprint zero, linked like any other; a text with fewer
 words than a shingle is one shingle; copies and repeated ids are members of one class; an empty
-table gives no row; rows without an id are kept; other columns of the input are not looked at.
+table gives no row; rows without an id are kept; an id with several texts is decided text by
+text; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -55,9 +56,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        prints = [fingerprint(t) for t in batch.column(1).to_pylist()]
+        prints = [fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         signed = np.array(prints, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(signed)], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,6 +68,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(_fingerprints, "id long, fp long")
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, text) per row of ``docs``; an id and the key of a text tell rows apart."""
+    return docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(quoted(text_col)).alias("key"), quoted(text_col).alias("text"))
+
+
 def masks(free: int, blocks: int, radius: int) -> list[int]:
     """Masks of the bits that agree, one for each choice of ``radius`` blocks of ``free`` that may differ."""
     bits = [b for b in range(64) if free >> b & 1]
@@ -244,11 +250,28 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def one_each(docs: DataFrame, members: DataFrame, root: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without an id, and of the others one for each component: that of the least id.
+
+    ``members`` has (id, key, cls) per row of ``docs``, ``root`` has (cls, root) for classes that are not their own root.
+    """
+    row = F.struct("id", "key")
+    classes = members.groupBy("cls").agg(F.min(F.when(F.col("id").isNotNull(), row)).alias("first"))
+    rooted = classes.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    rows = cut(members.where("id IS NOT NULL").join(rooted.select("cls", "root").join(least, "root"), "cls").select("id", "key", (row == F.col("first")).alias("stays")))
+    name, key, lone = fresh(docs, "_gone", "_key", "_lone")
+    gone = rows.where("NOT stays").select(F.col("id").alias(name), F.col("key").alias(key)).distinct()
+    out = docs.join(gone, (quoted(id_col) == F.col(name)) & (F.xxhash64(quoted(text_col)) == F.col(key)), "left_anti")
+    if rows.where("stays").groupBy("id", "key").count().where("count > 1").isEmpty():
+        return out
+    out = out.withColumn(key, F.xxhash64(quoted(text_col))).withColumn(lone, F.when(quoted(id_col).isNull(), F.monotonically_increasing_id()))
+    return out.dropDuplicates([id_col, key, lone]).select(*map(quoted, docs.columns))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their component; of rows that repeat an id, one."""
-    rows = cut(grouped(docs, id_col, text_col).select("id", "component"))
-    (name,) = fresh(docs, "_gone")
-    gone = rows.where("id <> component").select(F.col("id").alias(name)).distinct()
-    out = docs.join(gone, quoted(id_col) == F.col(name), "left_anti")
-    ids = rows.where("id = component").groupBy("id").count().where("count > 1")
-    return out if ids.isEmpty() else out.dropDuplicates([id_col])
+    """Of the rows of each component the one with the least id, and all rows without an id."""
+    bounded_batches(docs.sparkSession)
+    members = cut(keyed(docs, id_col, text_col).mapInArrow(_fingerprints, "id long, key long, fp long").withColumnRenamed("fp", "cls"))
+    root = components(links(members.select(F.col("cls").alias("fp")).distinct()))
+    return one_each(docs, members, root.select(F.col("v").alias("cls"), "root"), id_col, text_col)

@@ -318,3 +318,12 @@ def test_wand_returns_all_above_threshold():
                 score[item] = score.get(item, 0) + v
         want = {k: s for k, s in score.items() if s >= 1}
         assert {k: round(s, 9) for k, s in index.search(query)} == {k: round(s, 9) for k, s in want.items()}
+
+
+def test_simhash_decides_by_row(spark):
+    rng = random.Random(11)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    lone = [(None, t) for t in prose[:3]]
+    rows = [*lone, (1, prose[3]), (1, prose[3]), (2, prose[3]), (2, prose[4]), (3, prose[4]), (4, prose[5])]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([*lone, (1, prose[3]), (2, prose[4]), (4, prose[5])], key=str)
