@@ -1,7 +1,8 @@
 """Line-first quality rules, in built-in functions only.
 
 Each line is judged on its own: navigation strips, boilerplate phrases, symbol noise, shouting,
-stuttering words, and scraps without an end mark. Failing lines go; a document that loses too
+stuttering words, and scraps without an end mark; a hit counts by the share of the line that it
+takes, so that a long paragraph is not lost for one phrase. Failing lines go; a document that loses too
 large a share of its words to them is rejected, as is one that fails the base rules on length
 or repeated five-word windows. Everything happens inside a row: no shuffle, no Python.
 
@@ -27,9 +28,13 @@ WINDOW = 5
 MAX_LOST = 0.5
 #: A line fails when runs of one word four times or more hold more than this share of it.
 MAX_STUTTER = 0.2
+#: A line fails when navigation covers more than this share of it.
+MAX_NAVIGATION = 0.5
+#: A line fails when it has a boilerplate phrase for each so many characters.
+BOILERPLATE_CHARS = 100
 
 #: Licence lines are no boilerplate here: they say how a document may be used.
-NAVIGATION = r"(?:[|»›•·>][^|»›•·>]{0,40}+){3}"
+NAVIGATION = r"(?:[|»›•·>][^|»›•·>]{0,40}+){3,}+"
 BOILERPLATE = r"(?i)\b(?:cookies?|privacy policy|terms of (?:use|service)|javascript|click here|subscribe|sign (?:up|in)|log ?in|share this|read more)\b"
 STUTTER = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D])){3,}+"
 END_MARK = "[.!?…:;\"'”»)\\]]" + r"[\x20\x09-\x0D]*$"
@@ -75,7 +80,9 @@ def line_passes(line: Column) -> Column:
     noise = (symbols >= 3) & (symbols * 10 > n)
     shouting = line.rlike("!.*!.*!") & (capitals * 2 > F.length(line))
     stutter = line.rlike(STUTTER) & (F.length(F.regexp_replace(line, STUTTER, "")) < F.length(line) * (1 - MAX_STUTTER))
-    return ~(scrap | noise | shouting | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | stutter)
+    navigation = line.rlike(NAVIGATION) & (F.length(F.regexp_replace(line, NAVIGATION, "")) < F.length(line) * (1 - MAX_NAVIGATION))
+    boilerplate = line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_CHARS >= F.length(line))
+    return ~(scrap | noise | shouting | navigation | boilerplate | stutter)
 
 
 def judged(docs: DataFrame, text: Column, words: str, lines: str, good: str) -> DataFrame:

@@ -327,3 +327,14 @@ def test_simhash_decides_by_row(spark):
     rows = [*lone, (1, prose[3]), (1, prose[3]), (2, prose[3]), (2, prose[4]), (3, prose[4]), (4, prose[5])]
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([*lone, (1, prose[3]), (2, prose[4]), (4, prose[5])], key=str)
+
+
+def test_quality_keeps_long_paragraphs_with_a_hit(spark):
+    rng = random.Random(12)
+    prose, more = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    long = [prose + middle + more + "." for middle in (" it stores cookies and runs javascript here ", " a | b | c | d ")]
+    short = ["We use cookies to give you the best experience on our website.", "Home > Products > Outdoor shoes > Boots for the winter", "Accept cookies, read our privacy policy and terms of service, or log in or subscribe to read more about what we do with your data and why."]
+    docs = spark.createDataFrame([*enumerate(long), (2, prose + ".\n" + "\n".join(short))], "doc_id long, text string")
+    got = by_id(quality.rules(docs))
+    assert [got[i].kept for i in range(3)] == [True] * 3 and [got[i].clean_text for i in range(3)] == [*long, prose + "."]
+    assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {i: got[i].clean_text for i in range(3)}
