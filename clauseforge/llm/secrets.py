@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from clauseforge.llm.common import fresh, quoted
 from clauseforge.llm.spans import found, listed, redacted
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 KINDS = ["assign", "access", "hex", "forge", "chat", "jwt", "pem", "login"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
+PEM = "-----{} [A-Z ]{{0,24}}PRIVATE KEY-----"
+#: A private key runs to its END line; without one, before the next BEGIN, over its headers and what may be its body.
 #: Patterns by kind: those of the first three kinds are the base, the others are added to it.
 RULES = {
     "assign": ASSIGN,
@@ -31,8 +33,8 @@ RULES = {
     "forge": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+)",
     "chat": r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}+",
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
-    "pem": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
-    "login": r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]{1,15}+://[^\s:/@]{1,64}+:[^\s:/@]{1,64}+@",
+    "pem": rf"{PEM.format('BEGIN')}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+{PEM.format('END')}|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+\n)*+[A-Za-z0-9+/=\s]*+)",
+    "login": r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]++@",
 }
 #: A text without any of these holds no added span.
 ADDED = r"gh[pousr]_|glpat-|xox[abprs]-|eyJ|-----BEGIN |://"

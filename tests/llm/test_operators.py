@@ -338,3 +338,16 @@ def test_quality_keeps_long_paragraphs_with_a_hit(spark):
     got = by_id(quality.rules(docs))
     assert [got[i].kept for i in range(3)] == [True] * 3 and [got[i].clean_text for i in range(3)] == [*long, prose + "."]
     assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {i: got[i].clean_text for i in range(3)}
+
+
+def test_secrets_are_found_whole(spark):
+    rng = random.Random(13)
+    body = "\n".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", k=64)) for _ in range(200))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    login = "https://" + "u" * 90 + ":" + "p" * 90 + "@"
+    texts = ["so " + begin + body + end + " on", "so " + begin + headers + body + end + " on", "so " + begin + headers + body + "; on", f"so {login}host on", begin * 2 + body + end]
+    want = ["so [pem] on", "so [pem] on", "so [pem]; on", "so [login]host on", "[pem][pem]"]
+    docs = spark.createDataFrame([*enumerate(texts), (5, begin.strip() * 1_000)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [got[i] for i in range(5)] == want and got[5] == "[pem]" * 1_000
