@@ -37,6 +37,8 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?+[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,14}+(?![0-9])",
 }
+#: A text without any of these holds no match of the wider patterns; the sample and the search share it.
+MAY = r"[0-9@]|\bat\b|[A-Fa-f]:[A-Fa-f]"
 #: Documents of the sample that the trees are fitted on, at most about so many.
 FIT_DOCS = 20_000
 PRECISION = 0.98
@@ -70,7 +72,7 @@ def tagged(hits: Column, k: int) -> Column:
 
 
 def spans_of(text: Column, patterns: dict[str, str], check: bool) -> Column:
-    worth = {"email": text.contains("@") if check else text.rlike(r"@|\bat\b|[\[(]at"), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+") if check else text.rlike("[0-9]")}
+    worth = {"email": text.contains("@") if check else text.rlike(r"@|\bat\b|[\[(]at"), "ip": text.rlike("[0-9]" if check else r"[0-9]|[A-Fa-f]:[A-Fa-f]"), "card": text.rlike("[0-9]"), "phone": text.contains("+") if check else text.rlike("[0-9]")}
     out = []
     for k, kind in enumerate(KINDS):
         hits = found(text, patterns[kind], worth[kind])
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     share = min(1.0, fit_docs / max(docs.count(), 1))
     fold = F.pmod(F.xxhash64(quoted(id_col).cast("string")), F.lit(1 << 20))
     sample = docs.where(fold < int(share * (1 << 20))).select(F.coalesce(quoted(text_col), F.lit("")).alias("text"), (fold % 2).alias("fold"))
-    sample = sample.where(F.col("text").rlike(r"[0-9@]|\bat\b"))
+    sample = sample.where(F.col("text").rlike(MAY))
     sample = sample.withColumn("base", spans_of(F.col("text"), BASE, True)).withColumn("c", F.explode(candidates(F.col("text"), F.col("base"))))
     table = sample.groupBy("c.k", "fold", "c.bits").agg(F.sum(F.col("c.hit").cast("long")).alias("p"), F.count("*").alias("n"))
     counts: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
@@ -159,8 +161,7 @@ def find(docs: DataFrame, base: str, spans: str, id_col: str = "doc_id", text_co
     def added(cs: Column) -> Column:
         return F.transform(F.filter(cs, taken), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), F.substring(text, c["s"] + 1, c["e"] - c["s"]).alias("m")))
 
-    may = text.rlike(r"[0-9]|@|[\[(]at[\])]|\sdot\s|[\[(]dot")
-    more = F.when(may, let(candidates(text, F.col(base)), added)).otherwise(F.array().cast(SPANS))
+    more = F.when(text.rlike(MAY), let(candidates(text, F.col(base)), added)).otherwise(F.array().cast(SPANS))
     return out.withColumn(spans, F.sort_array(F.concat(base, more.cast(SPANS))))
 
 

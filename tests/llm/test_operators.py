@@ -351,3 +351,11 @@ def test_secrets_are_found_whole(spark):
     docs = spark.createDataFrame([*enumerate(texts), (5, begin.strip() * 1_000)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert [got[i] for i in range(5)] == want and got[5] == "[pem]" * 1_000
+
+
+def test_pii_candidates_do_not_depend_on_other_text(spark):
+    models = {k: (boosting.fit({0: (1.0, 1.0)}, pii.FEATURES), -1e9) for k in range(len(pii.KINDS))}
+    texts = ["write to joe at example.com today", "host ab:cd:ef:ab:cd:ef:ab:cd is up", "joe [at] example [dot] com", "meet me at noon"]
+    docs = spark.createDataFrame([*enumerate(texts), *((10 + i, t + " or 7") for i, t in enumerate(texts))], "doc_id long, text string")
+    got = by_id(pii.digest(docs, models=models))
+    assert [got[i].spans for i in range(4)] == [got[10 + i].spans for i in range(4)] == ["email:9:27", "ip:5:28", "email:0:26", ""]
