@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from functools import lru_cache
 
@@ -31,12 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 @lru_cache(maxsize=1)
 def own_folder() -> str:
-    return tempfile.mkdtemp()
+    """A folder of this process, removed at its end."""
+    path = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; an own one only if none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    """The folder named in spark.checkpoint.dir, which all executors share.
+
+    Without that setting a local session gets an own one; on a cluster nothing is guessed.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return own_folder()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
