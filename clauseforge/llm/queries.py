@@ -45,7 +45,7 @@ def op2_quality(spark, sf_dir):
 
 @query
 def op4_secrets(spark, sf_dir):
-    return secrets.digest(read(spark, sf_dir))
+    return secrets.digest(read(spark, sf_dir), path=secrets.ledger_folder(spark))
 
 
 @query
