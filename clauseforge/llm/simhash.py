@@ -47,8 +47,12 @@ def fingerprint(text: str | None) -> int:
     n = max(len(words) - SHINGLE + 1, 1)
     digest = xxhash.xxh64_digest
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(n, 8)
-    total = np.zeros(64, np.int64)
+    return majority(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(n, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, given as rows of eight bytes; 0 for none."""
+    n, total = len(hashes), np.zeros(64, np.int64)
     for a in range(0, n, 1 << 14):
         total += np.unpackbits(hashes[a : a + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
