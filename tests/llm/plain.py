@@ -120,3 +120,16 @@ def shingles(t, size=5):
     w = re.findall(r"\w+", (t or "").lower())
     size = min(size, len(w))
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else set()
+
+
+def alike(texts):
+    """id -> least id that links of five-word similarity 0.8 lead to, for {id: text}."""
+    words_of = {i: [w.lower() for w in words(t)] for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)} for i, w in words_of.items()}
+    top = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                u, v = sorted((top[a], top[b]))
+                top = {i: u if r == v else r for i, r in top.items()}
+    return top
