@@ -2,84 +2,90 @@
 
 A known word is scored by its log frequency in each language. An unseen word falls back to its
 character n-grams of the longest order of which the model knows any, then to ever shorter ones.
-Counts come from a bounded sample of labelled rows and are made by the DataFrame engine; the model
-keeps the most frequent entries of each language and order, so its size has a fixed bound
-whatever the corpus, and it is what the workers receive.
+Counts come from a bounded sample of labelled rows, FIT_DOCS at most of each language however rare
+it is, and are made by the DataFrame engine. The model holds every word and n-gram that the sample
+has at least MIN_COUNT times over all languages, with its count in each of them, so the sample
+bounds its size whatever the corpus, and it is what the workers receive.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; a table without labelled
 rows makes every row ``und``; rows with a null label are not learnt from; equal scores go to the
-language that sorts first; repeated rows are scored one by one; other columns are not looked at.
+language that sorts first; repeated rows are scored one by one, and an id that repeats is learnt
+from once; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseforge.llm.common import bounded_batches, cut, quoted
 
-#: Labelled rows of the sample, at most about so many.
-FIT_DOCS = 10_000
-WORDS_KEPT = 20_000
-GRAMS_KEPT = 10_000
+#: Labelled rows of the sample, at most so many of each language.
+FIT_DOCS = 2_000
 ORDERS = (5, 4, 3, 2, 1)
-#: A word must have been seen this often to be scored as a word.
-MIN_WORD = 3
+#: A word or n-gram must have been seen this often, in all languages together.
+MIN_COUNT = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
 
 
-def sample(docs: DataFrame, id_col: str, fit_docs: int) -> DataFrame:
-    share = min(1.0, fit_docs / max(docs.count(), 1))
-    return docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-
-def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> "Model":
-    """The model of ``train``; rows without a language or text are skipped."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    word = F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)))
-    words = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), word.alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
-    words = cut(words.withColumn("o", F.lit(0)))
-    marked = F.concat(F.lit("<"), F.col("x"), F.lit(">"))
-    parts = [words]
-    for order in ORDERS:
-        source = marked if order > 1 else F.col("x")
-        grams = F.transform(F.sequence(F.lit(1), F.length(source) - (order - 1)), lambda i: F.substr(source, i, F.lit(order)))
-        rows = words.where(F.length(source) >= order).select("lang", F.explode(grams).alias("x"), "n")
-        parts.append(rows.groupBy("lang", "x").agg(F.sum("n").alias("n")).withColumn("o", F.lit(order)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = cut(every)  # counts of a bounded sample
-    rank = F.row_number().over(Window.partitionBy("lang", "o").orderBy(F.desc("n"), "x"))
-    totals = every.groupBy("lang", "o").agg(F.sum("n").alias("total"))
-    kept = every.withColumn("r", rank).where(F.col("r") <= F.when(F.col("o") == 0, words_kept).otherwise(grams_kept))
-    kept = kept.where((F.col("o") > 0) | (F.col("n") >= MIN_WORD))
-    counts: dict[tuple[int, str], dict[str, int]] = defaultdict(dict)
-    for r in kept.select("o", "x", "lang", "n").collect():  # at most languages x (words_kept + orders x grams_kept)
-        counts[(r.o, r.x)][r.lang] = r.n
-    return Model(counts, {(r.o, r.lang): r.total for r in totals.collect()})
+def sample(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, text) of up to ``fit_docs`` rows of each language.
+
+    Ids are hashed into ``fit_docs`` buckets, and each bucket gives the row of its least hash: no
+    count of the rows is needed, partial minima are all that is shuffled, and no table is too large.
+    """
+    rows = docs.select(quoted(lang_col).alias("lang"), F.xxhash64(quoted(id_col).cast("string")).alias("h"), quoted(text_col).alias("text"))
+    least = rows.groupBy("lang", F.pmod("h", F.lit(fit_docs)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
+    return rows.join(least, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(train: DataFrame) -> "Model":
+    """The model of (lang, text); rows without a language or text are skipped."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    words = train.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", word.alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
+    words = cut(words)  # counts of a bounded sample
+    marked = lambda o: F.concat(F.lit("<"), F.col("x"), F.lit(">")) if o > 1 else F.col("x")
+    many = lambda o: F.greatest(F.length(marked(o)) - (o - 1), F.lit(0))
+
+    def grams(o: int) -> Column:
+        one = lambda i: F.struct(F.lit(o).alias("o"), F.substr(marked(o), i, F.lit(o)).alias("x"))
+        return F.when(many(o) > 0, F.transform(F.sequence(F.lit(1), many(o)), one)).otherwise(F.array().cast("array<struct<o:int,x:string>>"))
+
+    units = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("o"), F.col("x").alias("x"))), *map(grams, ORDERS)))
+    each = words.select("lang", "n", units.alias("u")).groupBy("u.o", "u.x", "lang").agg(F.sum("n").alias("n"))
+    kept = each.groupBy("o", "x").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total")).where(F.col("total") >= MIN_COUNT)
+    totals = words.groupBy("lang").agg(F.sum("n").alias("t0"), *(F.sum(F.col("n") * many(o)).alias(f"t{o}") for o in ORDERS))
+    return Model(kept.select("o", "x", "by").sort("o", "x").toArrow(), {r.lang: [r[f"t{o}"] for o in range(max(ORDERS) + 1)] for r in totals.collect()})
 
 
 class Model:
-    def __init__(self, counts, totals):
-        self.langs = sorted({lang for _, lang in totals})
+    def __init__(self, entries: pa.Table, totals: dict[str, list[int]]):
+        """``entries``: (o, x, by), by being a list of (lang, n); ``totals``: counts of each order by language."""
+        self.langs = sorted(totals)
         self.known: dict[str, int] = {}
         self.grams: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
-        rows = []
-        for (order, x), by in sorted(counts.items()):
-            (self.known if order == 0 else self.grams[order])[x] = len(rows)
-            total = [totals.get((order, lang), 0) for lang in self.langs]
-            rows.append([math.log((by.get(lang, 0) + 0.1) / (t + 1)) for lang, t in zip(self.langs, total)])
-        table = np.array(rows, np.float32).reshape(len(rows), len(self.langs))
+        orders, names = entries["o"].to_pylist(), entries["x"].to_pylist()
+        for k, (o, x) in enumerate(zip(orders, names)):
+            (self.known if o == 0 else self.grams[o])[x] = k
+        by = entries["by"].combine_chunks()
+        by = by.chunk(0) if isinstance(by, pa.ChunkedArray) else by
+        counts = np.zeros((len(names), len(self.langs)))
+        if len(names):
+            owner = np.repeat(np.arange(len(names)), np.asarray(pa.compute.list_value_length(by)))
+            flat, place = by.flatten(), {lang: k for k, lang in enumerate(self.langs)}
+            counts[owner, [place[x] for x in flat.field("lang").to_pylist()]] = flat.field("n").to_numpy()
+        total = np.array([totals[lang] for lang in self.langs], float).T
+        table = np.log((counts + 0.1) / (total[np.array(orders, int)] + 1)) if len(names) else counts
         #: Only differences between languages matter, so each entry is kept relative to its mean.
-        self.size, self.table = len(rows), table - (table.mean(axis=1, keepdims=True) if len(rows) else 0)
+        self.size = len(names)
+        self.table = (table - (table.mean(axis=1, keepdims=True) if len(names) else 0)).astype(np.float32)
         self.met: dict[str, int] = {}
 
     def backoff(self, word: str) -> np.ndarray:
@@ -94,7 +100,7 @@ class Model:
 
     def rows_of(self, words: list[str]) -> list[int]:
         """A row of the table for each word; rows of unseen words are made once and kept up to a bound."""
-        if len(self.met) > MEMO or not self.met:
+        if len(self.met) - len(self.known) > MEMO or not self.met:
             self.met, self.table = dict(self.known), self.table[: self.size]
             self.spare = self.size
         new = {w for w in words if w not in self.met}
@@ -138,8 +144,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, held_out, lang_pred, score) per row of ``docs``, learnt from rows that are not held out."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    out = is_held_out(F.col(id_col))
-    model = fit(sample(docs.where(~out & F.col(lang_col).isNotNull()), id_col, fit_docs), lang_col, text_col)
+    out = is_held_out(quoted(id_col))
+    model = fit(sample(docs.where(~out & quoted(lang_col).isNotNull()), fit_docs, id_col, lang_col, text_col))
     kept = docs.select(quoted(id_col).cast("long").alias("id"), out.alias("held_out"), quoted(text_col).alias("text"))
     rows = kept.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "id long, held_out boolean, lang_pred string, score double")
     return rows.withColumnRenamed("id", id_col)

@@ -40,10 +40,10 @@ from clauseforge.llm.suffix import common_prefixes, suffix_array
 LENGTH = 50
 GRAM = 16
 BLOB_BYTES = 2 << 20
-#: Bytes of text for which one more shard of grams or contexts is made.
-GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES = 64 << 20, 8 << 20
-#: Small inputs have a shard for each so many bytes, up to so many shards.
-SMALL_SHARD_BYTES, SMALL_SHARDS = 256 << 10, 256
+#: Bytes of text for which there is one shard of grams, or of contexts.
+GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES = 16 << 20, 4 << 20
+#: Blobs of one task; tasks that shards are dealt to, at most (a task takes its shards in turn).
+TASK_BLOBS, MOST_TASKS = 2, 20_000
 PIECE_BYTES = 8 << 20
 #: Grams are hashed in parts that stay in a core's cache.
 PART_BYTES = 128 << 10
@@ -455,8 +455,10 @@ def kept_texts(batches):
             yield from (whole.slice(a, 2048) for a in range(0, len(ends), 2048))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("k").sortWithinPartitions("k", "kind")
+def _dealt(rows: DataFrame, task, tasks: int) -> DataFrame:
+    """Rows in tasks by number, not by hash, so that all tasks have as many shards or blobs."""
+    n = max(1, min(tasks, MOST_TASKS))
+    return rows.repartitionById(n, F.pmod(task, F.lit(n)).cast("int")).sortWithinPartitions("k", "kind")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blob_bytes: int = BLOB_BYTES, hot_blobs: int = HOT_BLOBS, shards: int | None = None) -> DataFrame:
@@ -464,16 +466,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     pairs = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     blobs = cut(pairs.mapInArrow(blobs_of(blob_bytes), "blob long, n_bytes long, data binary"))
-    size = blobs.agg(F.sum("n_bytes")).first()[0] or 0
-    least = min(SMALL_SHARDS, size // SMALL_SHARD_BYTES + 1)
-    n_grams = shards or min(max(least, size // GRAM_SHARD_BYTES), 1 << 20)
-    n_suffixes = shards or min(max(least, size // SUFFIX_SHARD_BYTES), 1 << 20)
+    partition, number = F.shiftright("k", 32), F.col("k").bitwiseAND(F.lit((1 << 32) - 1))
+    size, n_blobs, last = blobs.agg(F.sum("n_bytes"), F.count("*"), F.max(F.shiftright("blob", 32))).first()
+    n_grams = shards or min((size or 0) // GRAM_SHARD_BYTES + 1, 1 << 20)
+    n_suffixes = shards or min((size or 0) // SUFFIX_SHARD_BYTES + 1, 1 << 20)
+    by_blob = number * ((last or 0) + 1) + partition, n_blobs // TASK_BLOBS
     held = blobs.select(F.col("blob").alias("k"), F.lit(2).alias("kind"), "blob", "data")
     grams = blobs.select("blob", "data").mapInArrow(send_grams(n_grams), ROWS)
-    shared = cut(_dealt(grams).mapInArrow(shared_grams(hot_blobs), ROWS), spent=True)
-    contexts = _dealt(shared.unionByName(held)).mapInArrow(send_contexts(n_suffixes), ROWS)
-    gone = cut(_dealt(contexts).mapInArrow(decisions, ROWS), spent=True)
-    out = _dealt(gone.unionByName(held)).mapInArrow(kept_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    shared = cut(_dealt(grams, F.col("k"), n_grams).mapInArrow(shared_grams(hot_blobs), ROWS), spent=True)
+    contexts = _dealt(shared.unionByName(held), *by_blob).mapInArrow(send_contexts(n_suffixes), ROWS)
+    gone = cut(_dealt(contexts, F.col("k"), n_suffixes).mapInArrow(decisions, ROWS), spent=True)
+    out = _dealt(gone.unionByName(held), *by_blob).mapInArrow(kept_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -4,16 +4,17 @@ Suffixes are classified as smaller or larger than their successor; leftmost-smal
 sorted by one round of induction, named, and their order found by recursion; a second round
 induces the order of all suffixes from theirs. A bucket is induced at once: all entries that are
 known when its turn comes send their predecessors to the other buckets with a stable radix sort,
-and predecessors that fall into the same bucket follow in rounds. A reduced string whose names are
-too many for a bucket each is ranked by doubling instead, over the suffixes still tied.
+and predecessors that fall into the same bucket follow in rounds. Reduced strings of many names are
+written in digits, so the recursion is by induction at every depth.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings with at most so many names are sorted by induction again.
-BUCKETS = 1024
+#: Strings of more names than this are written in two digits a name, if that makes them so much
+#: shorter than the string that they came from; each symbol is a step of the induction.
+DIRECT, SHRINK = 512, 0.9
 
 
 def _spread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,42 +71,49 @@ def _induce(text: np.ndarray, lms: np.ndarray, counts: np.ndarray, larger: np.nd
     return out
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names that differ in rank only where they differ."""
+def _reduced(names: np.ndarray, parent: int) -> np.ndarray:
+    """The suffix array of the names of a string of ``parent`` symbols; the last is the least and occurs only there.
+
+    A name that occurs once ends every comparison that reaches it. So the string is cut down to the
+    names that repeat, each run of them with the name behind it, and sorted by induction again.
+    """
     n = len(names)
-    first = np.argsort(names, kind="stable")
-    ordered = names[first]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    start = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[first] = np.repeat(start, np.diff(np.append(start, n)))
-    sizes = np.repeat(np.diff(np.append(start, n)), np.diff(np.append(start, n)))
-    tied, h = first[sizes > 1], 1
-    while len(tied):
-        nxt = tied + h
-        key = rank[tied] * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        tied, key = tied[order], key[order]
-        old = rank[tied]
-        new = np.append(True, key[1:] != key[:-1])
-        fresh = np.append(True, old[1:] != old[:-1])
-        at = np.arange(len(tied))
-        group, whole = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(fresh, at, 0))
-        rank[tied] = old + group - whole
-        start = np.flatnonzero(new)
-        sizes = np.diff(np.append(start, len(tied)))
-        tied = tied[np.repeat(sizes, sizes) > 1]
-        h *= 2
+    counts = np.bincount(names)
+    repeats = counts[names] > 1
     out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+    starts = np.cumsum(counts) - counts
+    alone = np.flatnonzero(~repeats)
+    out[starts[names[alone]]] = alone
+    if len(alone) < n:
+        kept = np.flatnonzero(repeats | np.append(False, repeats[:-1]) | (np.arange(n) == n - 1))
+        met, text = np.unique(names[kept], return_inverse=True)
+        digits = len(met) > DIRECT and len(kept) * 2 <= parent * SHRINK
+        order = kept[_by_digits(text, len(met)) if digits else suffix_array(text, len(met))]
+        out[np.repeat(counts, counts) > 1] = order[repeats[order]]
     return out
 
 
+def _by_digits(names: np.ndarray, kinds: int) -> np.ndarray:
+    """The suffix array of a string of many different names, by induction over their digits.
+
+    Names become two digits each, so suffixes that start at a name compare as the names do; one
+    symbol below the digits ends the string.
+    """
+    base = int(np.ceil(np.sqrt(kinds)))
+    base += base * base < kinds
+    text = np.zeros(len(names) * 2 + 1, np.uint32)
+    text[:-1:2], text[1:-1:2] = names // base + 1, names % base + 1
+    order = suffix_array(text, base + 1)
+    return order[(order % 2 == 0) & (order < len(text) - 1)] // 2
+
+
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """Starts of the suffixes of ``text`` in order; the last symbol must be 0 and occur only there."""
     n = len(text)
     if n < 3:
         return np.arange(n)[::-1].astype(np.int32)
+    if symbols <= 1 << 16:
+        text = text.astype(np.uint16)  # for which numpy's stable sort is a radix sort
     differs = text[:-1] != text[1:]
     at = np.where(differs, np.arange(n - 1), n - 1)
     following = np.minimum.accumulate(at[::-1])[::-1]
@@ -134,8 +142,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     names = name_of[lms]
     kinds = int(names.max()) + 1
     if kinds < len(names):
-        rank = suffix_array(names, kinds) if kinds <= BUCKETS else _doubled(names)
-        ordered = lms[rank]
+        ordered = lms[_reduced(names, n)]
     return _induce(text, ordered, counts, larger)
 
 
