@@ -75,6 +75,6 @@ class Settings:
             embeddings=text(prefix + "EMBEDDINGS", "latent"),
             latent_dims=number(prefix + "LATENT_DIMS", 256, int),
             llm=text(prefix + "LLM", "none"),
-            retrieval=Retrieval(final_k=number(prefix + "K", 6, int), reranker=text(prefix + "RERANKER", "lexical")),
+            retrieval=Retrieval(final_k=number(prefix + "K", 6, int), rrf_k=number(prefix + "RRF_K", 60, int), reranker=text(prefix + "RERANKER", "lexical")),
             guard=Guard(min_top=number(prefix + "MIN_TOP", 0.20), min_support=number(prefix + "MIN_SUPPORT", 0.18), min_overlap=number(prefix + "MIN_OVERLAP", 0.08)),
         )

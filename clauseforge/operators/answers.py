@@ -29,7 +29,7 @@ def signals(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("qid").join(rows, "qid", "left").withColumns(zero).withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
-def gate(sig: DataFrame, unknown: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+def gate(sig: DataFrame, unknown: DataFrame | None = None, missing: DataFrame | None = None, min_top: float = MIN_TOP, min_support: float = MIN_SUPPORT, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """(qid, answerable, reason, confidence, top, support, overlap), by the first rule that refuses."""
     rows = sig
     if missing is not None:
@@ -48,9 +48,9 @@ def gate(sig: DataFrame, unknown: DataFrame | None = None, missing: DataFrame |
         F.when(F.col("hits") == 0, NO_HITS)
         .when(F.size(F.coalesce("_missing", F.array())) > 0, F.concat(F.array_join("_missing", ", "), F.lit(" is not in the index")))
         .when(F.size(F.coalesce("_unknown", F.array())) > 0, F.concat(F.lit("no indexed document mentions "), quoted))
-        .when(F.col("top") < MIN_TOP, F.concat(F.lit("best passage scored "), two("top"), F.lit(f", below {MIN_TOP:.2f}")))
-        .when(F.col("overlap") < MIN_OVERLAP, F.concat(F.lit("the question's words hardly occur (overlap "), two("overlap"), F.lit(")")))
-        .when((F.col("support") < MIN_SUPPORT) & (F.col("top") < MIN_TOP * 1.6), F.concat(F.lit("one weak passage alone (support "), two("support"), F.lit(")")))
+        .when(F.col("top") < min_top, F.concat(F.lit("best passage scored "), two("top"), F.lit(f", below {min_top:.2f}")))
+        .when(F.col("overlap") < min_overlap, F.concat(F.lit("the question's words hardly occur (overlap "), two("overlap"), F.lit(")")))
+        .when((F.col("support") < min_support) & (F.col("top") < min_top * 1.6), F.concat(F.lit("one weak passage alone (support "), two("support"), F.lit(")")))
         .otherwise("sufficient support")
     )
     confidence = F.when(F.col("hits") == 0, 0.0).otherwise(F.round(0.60 * F.col("top") + 0.25 * F.col("support") + 0.15 * F.col("overlap"), 4))

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from clauseforge.functions import text as T
 
 
+def truth(golden: DataFrame) -> DataFrame:
+    """(qid, spec_id, clause) expected of the answerable questions that name any; null accepts all."""
+    any_of = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(None).cast("string")))
+    named = golden.where(F.col("expect_answerable") & ((F.size("expect_specs") > 0) | (F.size("expect_clauses") > 0)))
+    return named.select("qid", F.explode(any_of("expect_specs")).alias("spec_id"), any_of("expect_clauses").alias("c")).select("qid", "spec_id", F.explode("c").alias("clause"))
+
+
 def rank_of(hits: DataFrame, expected: DataFrame) -> DataFrame:
     """(qid, hit_rank): the first hit of an expected specification and clause; null if none.
 

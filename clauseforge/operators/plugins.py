@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -124,8 +126,28 @@ class ChatModel(LanguageModel):
         return out["message"]["content"] if self.kind == "ollama" else out["choices"][0]["message"]["content"]
 
 
+def chat(name: str, model: str | None = None) -> LanguageModel:
+    """A chat model by the name of its provider; its model and key come from the environment."""
+    url, key, default = PROVIDERS[name]
+    model = model or os.environ.get("CLAUSEFORGE_MODEL") or default
+    return ChatModel(os.environ.get(f"{name.upper()}_URL") or url, model, os.environ.get(key) if key else None, "ollama" if name == "ollama" else "openai")
+
+
+def automatic() -> LanguageModel | None:
+    """The first provider whose key is set, or none."""
+    return next((chat(name) for name, (_, key, _) in PROVIDERS.items() if key and os.environ.get(key)), None)
+
+
+#: Address, variable of the key, and default model of each provider.
+PROVIDERS = {
+    "groq": ("https://api.groq.com/openai/v1/chat/completions", "GROQ_API_KEY", "llama-3.3-70b-versatile"),
+    "openai": ("https://api.openai.com/v1/chat/completions", "OPENAI_API_KEY", "gpt-4o-mini"),
+    "ollama": ("http://localhost:11434/api/chat", None, "llama3.1"),
+}
+#: "lexical" is the built-in score, "none" the share of the best fusion. Callers may add their own.
 RERANKERS: dict[str, Callable[[], Reranker] | None] = {"lexical": None, "none": None}
-MODELS: dict[str, Callable[[], LanguageModel] | None] = {"none": None}
+EMBEDDINGS: dict[str, Callable[[], Embeddings] | None] = {"latent": None, "none": None}
+MODELS: dict[str, Callable[[], LanguageModel | None] | None] = {"none": None, "auto": automatic, **{name: partial(chat, name) for name in PROVIDERS}}
 
 
 def resolve(registry: dict, name: str):

@@ -7,6 +7,8 @@ those of chunks may be of any size, and only they are partitioned by the number
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +141,7 @@ def tfidf_search(chunks: DataFrame, questions: DataFrame, k: int, text_col: str
         df = posts.groupBy("term").agg(F.count("*").alias("df"))
     terms = query_terms(questions)
     df = df.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(n.select("n")))
-    idf = df.where((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.where(I.kept(min_df, max_df)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     q = terms.join(idf, "term").select("qid", "term", ((1 + F.log("w")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("qid")))
     q = q.select("qid", "term", (F.col("v") / F.greatest(norm, F.lit(1e-9))).alias("v"))
@@ -254,19 +256,26 @@ def lexical_score(question: Column, terms: Column, text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0)
 
 
-def scored(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, idf: DataFrame, rerank: bool = True, text_col: str = "indexed") -> DataFrame:
-    """Candidates (qid, pos, fusion) with overlap and score: the reranker's, or the share of the best fusion."""
+def scored(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, idf: DataFrame, rerank: bool = True, text_col: str = "indexed", reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Candidates (qid, pos, fusion) with overlap and score: the reranker's, or the share of the best fusion.
+
+    ``reranker`` gives rows (qid, pos, question, passage) a score between 0 and 1; without one the
+    lexical score is taken.
+    """
     terms = weighted_terms(questions, idf)
     rows = candidates.join(questions.select("qid", "question"), "qid").join(terms, "qid", "left")
     rows = rows.join(chunks.select("pos", "spec_id", "clause", text_col), "pos")
     known = F.coalesce(F.col("terms"), F.array().cast("array<struct<ord:int,term:string,idf:double>>"))
     rows = rows.withColumn("terms", known).withColumn("overlap", overlap(F.col("terms"), F.lower(text_col)))
-    if rerank:
+    if rerank and reranker is not None:
+        pairs = reranker(rows.select("qid", "pos", "question", F.col(text_col).alias("passage"))).select("qid", "pos", F.col("score").alias("_score"))
+        rows, score = rows.join(pairs, ["qid", "pos"]), F.col("_score")
+    elif rerank:
         score = lexical_score(F.col("question"), F.col("terms"), F.col(text_col))
     else:
         best = F.max("fusion").over(Window.partitionBy("qid"))
         score = F.col("fusion") / F.when(best == 0, 1.0).otherwise(best)
-    return rows.withColumn("score", score).drop("terms", "question", text_col)
+    return rows.withColumn("score", score).drop("terms", "question", "_score", text_col)
 
 
 def diversified(hits: DataFrame, k: int = 6, cap: int = 2) -> DataFrame:
@@ -300,6 +309,39 @@ def unknown_terms(questions: DataFrame, chunks: DataFrame, text_col: str = "inde
 # --- the whole --------------------------------------------------------------------------------
 
 
+def ranked_lists(chunks: DataFrame, questions: DataFrame, mode: str, second: DataFrame | None, expansions: DataFrame | None, candidates: int, text_col: str, tables: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
+    """The ranked lists (qid, pos, rank) that a mode fuses, by name."""
+    if mode not in ("hybrid", "bm25", "dense"):
+        raise ValueError(f"unknown mode: {mode}")
+    lists = {}
+    if mode != "dense":
+        lists["bm25"] = bm25_search(chunks, questions, candidates, expansions, text_col, tables)
+    if mode != "bm25":
+        lists["dense"] = tfidf_search(chunks, questions, candidates, text_col, tables=tables) if second is None else second
+    return lists
+
+
+def diagnostics(questions: DataFrame, lists: dict[str, DataFrame], hits: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
+    """(qid, expansions, specs, clauses, bm25, dense, candidates, pinned, hits): what a retrieval did, question by question."""
+    named, clauses = references(questions)
+    gathered = lambda df, c, name: df.groupBy("qid").agg(F.array_sort(F.collect_set(c)).alias(name))
+    out = questions.select("qid")
+    for df, c, name in ((named, "spec_id", "specs"), (clauses, "clause", "clauses"), *([] if expansions is None else [(expansions, "expansion", "expansions")])):
+        out = out.join(gathered(df, c, name), "qid", "left")
+    if expansions is None:
+        out = out.withColumn("expansions", F.lit(None).cast("array<string>"))
+    every = None
+    for name in ("bm25", "dense"):
+        ranks = lists.get(name)
+        one = None if ranks is None else ranks.select("qid", "pos", F.lit(name).alias("list"))
+        every = one if every is None else every if one is None else every.unionByName(one)
+    sizes = every.groupBy("qid").agg(*(F.count(F.when(F.col("list") == name, 1)).alias(name) for name in ("bm25", "dense")), F.count_distinct("pos").alias("candidates"))
+    found = hits.groupBy("qid").agg(F.count(F.when(F.col("pinned"), 1)).alias("pinned"), F.count("*").alias("hits"))
+    out = out.join(sizes, "qid", "left").join(found, "qid", "left").fillna(0, ["bm25", "dense", "candidates", "pinned", "hits"])
+    empty = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("expansions", "specs", "clauses")}).select("qid", "expansions", "specs", "clauses", "bm25", "dense", "candidates", "pinned", "hits")
+
+
 def retrieve(
     chunks: DataFrame,
     questions: DataFrame,
@@ -316,24 +358,20 @@ def retrieve(
     window: int = 1,
     text_col: str = "indexed",
     tables: dict[str, DataFrame] | None = None,
+    reranker: Callable[[DataFrame], DataFrame] | None = None,
+    rrf_k: int = RRF_K,
 ) -> DataFrame:
     """Final hits of all questions: (qid, rank, pos, spec_id, clause, score, fusion, overlap, pinned).
 
     ``second`` is the other ranked list (qid, pos, rank): dense search, or TF-IDF where there are no
     vectors. Modes: hybrid, bm25, dense; dense takes no expansions.
     """
-    lists = []
-    if mode in ("hybrid", "bm25"):
-        lists.append((bm25_search(chunks, questions, candidates, expansions, text_col, tables), 1.0))
-    if mode in ("hybrid", "dense"):
-        lists.append((tfidf_search(chunks, questions, candidates, text_col, tables=tables) if second is None else second, 1.0))
-    if not lists:
-        raise ValueError(f"unknown mode: {mode}")
+    lists = [(ranks, 1.0) for ranks in ranked_lists(chunks, questions, mode, second, expansions, candidates, text_col, tables).values()]
     named, clauses = references(questions)
-    fused = add_pins(boost_specs(rrf(lists), chunks, named), pins(chunks, clauses))
+    fused = add_pins(boost_specs(rrf(lists, rrf_k), chunks, named), pins(chunks, clauses), rrf_k)
     if wanted is not None:
         fused = keep_specs(fused, chunks, wanted)
     top = top_n(fused, depth).select("qid", "pos", F.col("score").alias("fusion"), "pinned", F.col("rank").alias("ord"))
     near = siblings(top, chunks, window).select("qid", "pos", F.lit(0.0).alias("fusion"), F.lit(False).alias("pinned"), (F.col("pos") + (1 << 40)).alias("ord"))
-    hits = scored(top.unionByName(near), questions, chunks, idf, rerank, text_col)
+    hits = scored(top.unionByName(near), questions, chunks, idf, rerank, text_col, reranker)
     return diversified(hits, k, cap).select("qid", "rank", "pos", "spec_id", "clause", "score", "fusion", "overlap", "pinned")

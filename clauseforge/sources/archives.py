@@ -36,6 +36,36 @@ def require(archives: DataFrame, release: int) -> None:
         raise LookupError(f"release {release} of {lacking[0].spec_id} is not available; there are {lacking[0].have}")
 
 
+def fetch(spark: SparkSession, mirror: str, specs: list[str], target: str, manifest: str, release: int | None = None) -> int:
+    """Copy the newest archive of each specification from a mirror and write a manifest; how many there are.
+
+    ``mirror`` holds SERIES_series/SPEC/index.html beside the archives, on any file system that
+    Spark's readers open. A specification without a wanted archive is left out. Archives are
+    copied under another name and renamed when whole; one that is there already stays.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    places = {s: f"{mirror}/{s.split('.')[0]}_series/{s}" for s in specs}
+    there = {s: p for s, p in places.items() if path(p).getFileSystem(conf).exists(path(f"{p}/index.html"))}
+    if not there:
+        return 0
+    pages = None
+    for s, p in there.items():
+        one = spark.read.text(f"{p}/index.html", wholetext=True).select(F.lit(s).alias("spec_id"), F.col("value").alias("html"))
+        pages = one if pages is None else pages.unionByName(one)
+    rows = pick(list_archives(pages, mirror), release).collect()
+    to = path(target).getFileSystem(conf)
+    for r in rows:
+        whole, part = path(f"{target}/{r.filename}"), path(f"{target}/{r.filename}.part")
+        if not (to.exists(whole) and to.getFileStatus(whole).getLen() > 0):
+            source = path(f"{there[r.spec_id]}/{r.filename}")
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, to, part, False, conf)
+            to.rename(part, whole)
+    if rows:
+        save_manifest(spark.createDataFrame(rows), manifest)
+    return len(rows)
+
+
 def word_parts(spark: SparkSession, path: str) -> DataFrame:
     """Word files of zip archives below ``path``: (archive, name, part, content), in reading order within an archive."""
     import io
@@ -58,7 +88,9 @@ def word_parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    """A manifest as written by ``save_manifest``, or one JSON array."""
+    rows = spark.read.json(path)
+    return rows if "_corrupt_record" not in rows.columns else spark.read.json(path, multiLine=True)
 
 
 def save_manifest(manifest: DataFrame, path: str) -> None:

@@ -9,29 +9,40 @@ from pyspark.sql import functions as F
 
 from clauseforge.operators import index as I
 
-FORMAT = 2
+FORMAT = 3
 
 
-def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, reverse: DataFrame | None = None, text_col: str = "indexed", mode: str = "errorifexists") -> None:
-    """Write chunks, postings, TF-IDF weights, term statistics, corpus statistics, lexicon and meta below ``path``.
+def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, reverse: DataFrame | None = None, text_col: str = "indexed", mode: str = "errorifexists", latent_dims: int = 0, embeddings: str | None = None, vectors: DataFrame | None = None) -> None:
+    """Write chunks, postings, TF-IDF weights, term and corpus statistics, vectors, lexicon and meta below ``path``.
 
-    Postings are clustered by term, so that a question reads few row groups. ValueError if there
-    is no chunk.
+    Postings and weights are ranged by term and place, so that a question reads few row groups and
+    a frequent term is spread over tasks. With ``latent_dims`` latent vectors and their basis are
+    written; with ``embeddings`` the ``vectors`` (pos, vector) of that name. ValueError if there is
+    no chunk.
     """
     spark = chunks.sparkSession
     if chunks.isEmpty():
         raise ValueError("there are no chunks to index")
     chunks.write.mode(mode).parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
-    I.postings(chunks, text_col).repartitionByRange("term").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/postings")
+    I.postings(chunks, text_col).repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/postings")
     posts = spark.read.parquet(f"{path}/postings")
-    I.corpus_stats(chunks, text_col).write.mode(mode).parquet(f"{path}/stats")
-    I.term_stats(posts, spark.read.parquet(f"{path}/stats")).sort("term").write.mode(mode).parquet(f"{path}/terms")
-    weights = I.tfidf(posts, spark.read.parquet(f"{path}/stats"))
-    weights.repartitionByRange("term").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
+    I.stats_of(posts, chunks).write.mode(mode).parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    I.term_stats(posts, stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
+    weights = I.tfidf(posts, stats, df=spark.read.parquet(f"{path}/terms"))
+    weights.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
+    basis = []
+    if latent_dims:
+        vectors, basis = I.latent_vectors(spark.read.parquet(f"{path}/weights"), latent_dims)
+        embeddings = "latent"
+    if vectors is None:
+        vectors = spark.createDataFrame([], "pos long, vector array<double>")
+    vectors.write.mode(mode).parquet(f"{path}/vectors")
+    spark.createDataFrame([(i, row) for i, row in enumerate(basis)], "f int, row array<double>").coalesce(1).write.mode(mode).parquet(f"{path}/basis")
     for name, table, schema in (("lexicon", forward, "acronym string, expansion string, ord long"), ("reverse", reverse, "phrase string, acronym string")):
         (spark.createDataFrame([], schema) if table is None else table).write.mode(mode).parquet(f"{path}/{name}")
-    meta = spark.createDataFrame([(FORMAT, datetime.now(timezone.utc).isoformat(timespec="seconds"))], "format int, built_at string")
+    meta = spark.createDataFrame([(FORMAT, datetime.now(timezone.utc).isoformat(timespec="seconds"), embeddings or "none")], "format int, built_at string, embeddings string")
     meta.write.mode(mode).parquet(f"{path}/meta")
 
 
@@ -45,7 +56,7 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         raise FileNotFoundError(f"no index at {path}") from e
     if meta is None or meta.format != FORMAT:
         raise ValueError(f"the index at {path} is of format {meta and meta.format}, not {FORMAT}; build it again")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "weights", "terms", "stats", "lexicon", "reverse")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "weights", "terms", "stats", "lexicon", "reverse", "vectors", "basis", "meta")}
 
 
 def specs(chunks: DataFrame) -> DataFrame:
