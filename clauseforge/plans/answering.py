@@ -12,7 +12,7 @@ from clauseforge.operators import retrieval as R
 from clauseforge.operators import verify as V
 from clauseforge.plans import sql as S
 from clauseforge.plans.registry import query
-from clauseforge.plans.search import chunks, hits, question_idf, questions, six
+from clauseforge.plans.search import chunks, hits, idf, question_idf, questions, six
 from clauseforge.session import settled
 
 SIGNALS = """sig AS (SELECT q.qid, coalesce(max(h.score) FILTER (WHERE h.rank = 1), 0) AS top, coalesce(avg(h.score) FILTER (WHERE h.rank BETWEEN 2 AND 3), 0) AS support, coalesce(max(h.overlap) FILTER (WHERE h.rank <= 3), 0) AS overlap, count(h.pos) AS hits FROM questions q LEFT JOIN hits h USING (qid) GROUP BY q.qid)"""
@@ -136,14 +136,32 @@ merged AS (SELECT c.qid, c.claim_no, any_value(c.text) AS text, string_agg(s.bod
 cterms AS (SELECT DISTINCT qid, claim_no, body, unnest({S.tokens('text')}) AS term FROM merged)"""
 
 
-@query("v4_support", f"WITH answers AS ({ANSWERS}), {CLAIMS}, {SUPPORT} SELECT qid, claim_no, round(sum(CASE WHEN contains(body, term) THEN 1 ELSE 0 END) / count(*), 6) AS support FROM cterms GROUP BY qid, claim_no")
+@query("v4_support", f"WITH {S.POSTINGS}, answers AS ({ANSWERS}), {CLAIMS}, {SUPPORT} SELECT qid, claim_no, round(sum(CASE WHEN contains(body, term) THEN coalesce(idf, 6.0) ELSE 0 END) / sum(coalesce(idf, 6.0)), 6) AS support FROM cterms LEFT JOIN terms USING (term) GROUP BY qid, claim_no")
 def v4_support(spark, sf_dir):
     parsed = V.claims(conversation_answers(spark, sf_dir))
-    none = spark.createDataFrame([], "term string, idf double")  # every term weighs the same
-    v = V.verified(parsed, user_turns(spark, sf_dir), none).join(parsed.select("qid", "claim_no", F.size(F.array_distinct(T.tokens("text"))).alias("k")), ["qid", "claim_no"])
+    v = V.verified(parsed, user_turns(spark, sf_dir), idf(spark, sf_dir)).join(parsed.select("qid", "claim_no", F.size(F.array_distinct(T.tokens("text"))).alias("k")), ["qid", "claim_no"])
     return v.where((F.col("k") > 0) & (F.size("citations") > 0)).select("qid", "claim_no", six("support"))
 
 
+#: The patterns without a look-around, in plain ASCII; numbers alone are left to the tests.
+HARD_SQL = ", ".join(f"regexp_extract_all(t, '{p}')" for p in (r"(?i)\b(?:TS|TR)\s?\d{2}\.\d{3}\b", r"\bT\d{3,4}[A-Za-z]?\b", r"\b0x[0-9A-Fa-f]+\b", r"\b[A-Z][A-Z0-9-]{2,}(?:\s+[A-Z][A-Z0-9-]{2,})+\b"))
+
+
+@query(
+    "v2_hard_tokens",
+    rf"""WITH source AS (SELECT doc_id, 'See ts 24.' || (100 + doc_id % 7) || ', T3' || (doc_id % 300) || 'x, 0xA' || doc_id || ' and MM IDLE-' || doc_id || ' or UE, ABC/D' || doc_id || ' NAS. ' || upper(substr(regexp_replace(text, '[^ -~]', 'x', 'g'), 1, 90)) AS t FROM documents),
+found AS (SELECT doc_id, flatten([{HARD_SQL}, list_filter(regexp_extract_all(t, '\b[A-Z][A-Z0-9]{{2,}}(?:[-/][A-Z0-9]+)*\b'), lambda w: NOT list_contains({list(V.AMBIENT)}, w))]) AS l FROM source),
+keyed AS (SELECT doc_id, l, list_transform(l, lambda w: regexp_replace(lower(w), '\s+', ' ', 'g')) AS k FROM found)
+SELECT doc_id, array_to_string(list_filter(l, lambda w, i: list_position(k, k[i]) = i), '|') AS hard FROM keyed""",
+)
+def v2_hard_tokens(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = F.col("doc_id").cast("string")
+    made = F.concat(F.lit("See ts 24."), (100 + F.col("doc_id") % 7).cast("string"), F.lit(", T3"), (F.col("doc_id") % 300).cast("string"), F.lit("x, 0xA"), n, F.lit(" and MM IDLE-"), n, F.lit(" or UE, ABC/D"), n, F.lit(" NAS. "))
+    text = F.concat(made, F.upper(F.substring(F.regexp_replace("text", "[^ -~]", "x"), 1, 90)))
+    return d.select("doc_id", F.array_join(F.filter(V.hard_tokens(text), lambda t: t.rlike("[A-Za-z]")), "|").alias("hard"))
+
+
 @query("v6_groundedness", f"WITH answers AS ({ANSWERS}), {CLAIMS} SELECT a.qid, count(c.qid) AS claims, CAST(coalesce(sum(CASE WHEN length(c.text) % 2 = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS kept, round(coalesce(avg(CASE WHEN length(c.text) % 2 = 0 THEN 1.0 ELSE 0.0 END), 0), 6) AS groundedness FROM answers a LEFT JOIN (SELECT * FROM claims WHERE text <> '') c USING (qid) GROUP BY a.qid")
 def v6_groundedness(spark, sf_dir):
     answers = conversation_answers(spark, sf_dir)
@@ -155,9 +173,22 @@ def v6_groundedness(spark, sf_dir):
 
 
 def expected(spark, sf_dir):
-    """Benchmark items found verbatim in documents: the specification and clause of each such document."""
-    q = F.broadcast(questions(spark, sf_dir))  # the stated query set, against all documents
-    return chunks(spark, sf_dir).join(q, F.col("text").contains(F.col("question"))).select("qid", "spec_id", "clause").distinct()
+    """Benchmark items found verbatim in documents: the specification and clause of each such document.
+
+    A document that holds a question holds its inner words whole, so only documents with the word of
+    them that fewest documents have are searched.
+    """
+    q = questions(spark, sf_dir).withColumn("words", F.split("question", r"\s+"))
+    inner = F.when(F.size("words") > 2, F.slice("words", 2, F.size("words") - 2)).otherwise(F.array().cast("array<string>"))
+    asked = q.select("qid", F.explode(F.array_distinct(inner)).alias("word"))
+    c = chunks(spark, sf_dir).select("pos", "spec_id", "clause", "text")
+    held = c.select("pos", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    rarity = asked.join(held.groupBy("word").agg(F.count("*").alias("df")), "word", "left").fillna(0, ["df"])
+    key = rarity.groupBy("qid").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    pairs = key.join(held, "word").select("qid", "pos").join(q.select("qid", "question"), "qid").join(c, "pos")
+    short = q.where(F.size("words") < 3).select("qid", "question")  # no inner word: searched everywhere
+    pairs = pairs.select("qid", "question", "spec_id", "clause", "text").unionByName(R.sized(short).join(c).select("qid", "question", "spec_id", "clause", "text"))
+    return pairs.where(F.col("text").contains(F.col("question"))).select("qid", "spec_id", "clause").distinct()
 
 
 TRUTH = "expected AS (SELECT DISTINCT q.qid, c.spec_id, c.clause FROM questions q JOIN chunks c ON contains(c.text, q.question))"
@@ -205,3 +236,20 @@ def e5_summary(spark, sf_dir):
     rank = F.when(d % 3 != 0, 1 + d % 3)
     items = spark.read.parquet(f"{sf_dir}/labels.parquet").select((F.col("quality") == 1).alias("expect_answerable"), (F.col("toxic") == 1).alias("abstained"), F.lit(True).alias("correct_decision"), ((d % 5) / 4.0).alias("groundedness"), (d % 4).alias("claims"), (d % 2).alias("dropped"), rank.alias("hit_rank"), (d % 7 != 0).alias("has_truth"))
     return E.summary(items)
+
+
+CHECKED = """golden AS (SELECT doc_id AS qid, doc_id % 4 <> 0 AS expect_answerable, [upper(substr(text, 1, 5)), 'zz' || doc_id] AS must_include, [lang || ' ', substr(text, 8, 4)] AS must_not_include FROM documents),
+given AS (SELECT doc_id AS qid, text AS answer, doc_id % 5 = 0 AS abstained, doc_id % 3 AS offered, CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE CAST([] AS INTEGER[]) END AS cited FROM documents)"""
+
+
+@query(
+    "e3_item_checks",
+    f"""WITH {CHECKED} SELECT qid, expect_answerable, abstained, abstained <> expect_answerable AS correct_decision,
+array_to_string(CASE WHEN abstained THEN CAST([] AS VARCHAR[]) ELSE list_filter(must_include, lambda x: NOT contains(lower(answer), lower(x))) END, '|') AS missing, array_to_string(list_filter(must_not_include, lambda x: contains(lower(answer), lower(x))), '|') AS forbidden, len(list_filter(cited, lambda n: n < 1 OR n > offered)) = 0 AS citations_valid FROM golden JOIN given USING (qid)""",
+)
+def e3_item_checks(spark, sf_dir):
+    d, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    golden = d.select(n.alias("qid"), (n % 4 != 0).alias("expect_answerable"), F.array(F.upper(F.substring("text", 1, 5)), F.concat(F.lit("zz"), n.cast("string"))).alias("must_include"), F.array(F.concat("lang", F.lit(" ")), F.substring("text", 8, 4)).alias("must_not_include"))
+    given = d.select(n.alias("qid"), F.col("text").alias("answer"), (n % 5 == 0).alias("abstained"), (n % 3).alias("offered"), F.when(n % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("cited"))
+    rows = E.item_checks(given, golden)
+    return rows.select("qid", "expect_answerable", "abstained", "correct_decision", F.array_join("missing_required", "|").alias("missing"), F.array_join("forbidden_present", "|").alias("forbidden"), "citations_valid")

@@ -10,22 +10,34 @@ from clauseforge.plans.registry import query
 from clauseforge.plans.search import questions
 from clauseforge.sources import archives, store
 
-CODES = "(VALUES ('f30'), ('k00'), ('012'), ('zzz'), ('A1b'), ('12'), ('x-1')) t(code)"
+D36 = "'0123456789abcdefghijklmnopqrstuvwxyz'"
+#: Version codes made from ids: base-36 digits, some in capitals, some too long or with a hyphen.
+CODED = """coded AS (SELECT doc_id, source, lang, CASE doc_id % 10 WHEN 0 THEN upper(c) WHEN 1 THEN c || '0' WHEN 2 THEN replace(c, substr(c, 2, 1), '-') ELSE c END AS code
+FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 0 THEN translate(substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), '0123456789abcdef', 'ghijklmnopqrstuv') ELSE substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) END AS c FROM documents))"""
 
 
-def values(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def coded(spark, sf_dir):
+    d = F.col("doc_id")
+    c = F.substring(F.md5(d.cast("string")), 1, 3)
+    c = F.when(d % 2 == 0, F.translate(c, "0123456789abcdef", "ghijklmnopqrstuv")).otherwise(c)
+    rows = documents(spark, sf_dir).withColumn("c", c)
+    code = F.when(d % 10 == 0, F.upper("c")).when(d % 10 == 1, F.concat("c", F.lit("0"))).when(d % 10 == 2, F.replace("c", F.substring("c", 2, 1), F.lit("-"))).otherwise(F.col("c"))
+    return rows.withColumn("code", code)
 
 
 @query(
     "f1_versions",
-    f"""WITH c AS (SELECT code, lower(code) AS l, '0123456789abcdefghijklmnopqrstuvwxyz' AS d, regexp_matches(lower(code), '^[0-9a-z]{{3}}$') AS good FROM {CODES})
-SELECT code, CASE WHEN good THEN concat_ws('.', instr(d, l[1]) - 1, instr(d, l[2]) - 1, instr(d, l[3]) - 1) END AS version, CASE WHEN good THEN l END AS encoded FROM c""",
+    f"""WITH {CODED}, c AS (SELECT doc_id, code, lower(code) AS l, {D36} AS d, regexp_matches(lower(code), '^[0-9a-z]{{3}}$') AS good FROM coded)
+SELECT doc_id, code, CASE WHEN good THEN concat_ws('.', instr(d, l[1]) - 1, instr(d, l[2]) - 1, instr(d, l[3]) - 1) END AS version, CASE WHEN good THEN l END AS encoded FROM c""",
 )
 def f1_versions(spark, sf_dir):
-    d = values(spark, [(c,) for c in ("f30", "k00", "012", "zzz", "A1b", "12", "x-1")], "code string")
     v = T.decode_version("code")
-    return d.select("code", F.when(v.isNotNull(), T.format_version(v)).alias("version")).withColumn("encoded", T.encode_version("version"))
+    rows = coded(spark, sf_dir).select("doc_id", "code", F.when(v.isNotNull(), T.format_version(v)).alias("version"))
+    return rows.withColumn("encoded", T.encode_version("version"))
 
 
 @query("f4_archive_urls", "SELECT s || '' AS spec_id, 'http://a/' || split_part(s, '.', 1) || '_series/' || s || '/' || replace(s, '.', '') || '-f30.zip' AS url FROM (SELECT DISTINCT (20 + doc_id % 19) || '.' || (100 + doc_id % 31) AS s FROM documents)")
@@ -36,34 +48,38 @@ def f4_archive_urls(spark, sf_dir):
     return rows.select("spec_id", T.archive_url("http://a", "spec_id", F.lit("15.3.0")).alias("url"))
 
 
-LISTING = "".join(f'<a href="/x/{n}-{c}.zip">v</a>' for n, c in (("24501", "f30"), ("24501", "F30"), ("24501", "k00"), ("24301", "f00"), ("24501", "g10"), ("245011", "a00")))
-LISTED = "(VALUES ('24.501', 'f30', '15.3.0', 15), ('24.501', 'g10', '16.1.0', 16), ('24.501', 'k00', '20.0.0', 20)) t(spec_id, version_code, version, release)"
+#: A listing page for each of many specifications, with an archive for each document and one of another number.
+SPEC = "(20 + doc_id % 5) || '.' || (100 + doc_id % 7)"
+LISTED = f"""{CODED}, rows_ AS (SELECT DISTINCT {SPEC} AS spec_id, lower(code) AS version_code FROM coded WHERE regexp_matches(lower(code), '^[0-9a-z]{{3}}$')),
+digits AS (SELECT *, instr({D36}, version_code[1]) - 1 AS a, instr({D36}, version_code[2]) - 1 AS b, instr({D36}, version_code[3]) - 1 AS c FROM rows_)"""
 
 
-def listing(spark):
-    return archives.list_archives(values(spark, [("24.501", LISTING)], "spec_id string, html string"), "http://a")
+def listing(spark, sf_dir):
+    spec = F.concat((20 + F.col("doc_id") % 5).cast("string"), F.lit("."), (100 + F.col("doc_id") % 7).cast("string"))
+    rows = coded(spark, sf_dir).withColumn("spec_id", spec)
+    link = F.concat(F.lit('<a HREF="/x/'), F.replace("spec_id", F.lit("."), F.lit("")), F.lit("-"), "code", F.lit('.zip">v</a> <a href="/x/99999-a00.zip">w</a>'))
+    return archives.list_archives(rows.groupBy("spec_id").agg(F.array_join(F.collect_list(link), "\n").alias("html")), "http://a")
 
 
-@query("s1_archives", f"SELECT spec_id, version_code, version, release, 'http://a/24_series/24.501/24501-' || version_code || '.zip' AS url, '24501-' || version_code || '.zip' AS filename FROM {LISTED}")
+@query("s1_archives", f"WITH {LISTED} SELECT spec_id, version_code, a || '.' || b || '.' || c AS version, a AS release, 'http://a/' || split_part(spec_id, '.', 1) || '_series/' || spec_id || '/' || replace(spec_id, '.', '') || '-' || version_code || '.zip' AS url, replace(spec_id, '.', '') || '-' || version_code || '.zip' AS filename FROM digits")
 def s1_archives(spark, sf_dir):
-    return listing(spark)
+    return listing(spark, sf_dir).withColumn("release", F.col("release").cast("long"))
 
 
-@query("s2_pick", f"SELECT 'any' AS asked, max_by(version, release) AS version FROM {LISTED} UNION ALL SELECT '16', max_by(version, release) FROM {LISTED} WHERE release = 16")
+@query("s2_pick", f"WITH {LISTED}, best AS (SELECT 'any' AS asked, spec_id, max(row(a, b, c)) AS v FROM digits GROUP BY spec_id UNION ALL SELECT '16', spec_id, max(row(a, b, c)) FROM digits WHERE a = 16 GROUP BY spec_id) SELECT asked, spec_id, v[1] || '.' || v[2] || '.' || v[3] AS version FROM best")
 def s2_pick(spark, sf_dir):
-    a = archives.pick(listing(spark)).select(F.lit("any").alias("asked"), "version")
-    return a.unionByName(archives.pick(listing(spark), 16).select(F.lit("16").alias("asked"), "version"))
-
-
-PARTS = ["x-f30_2_b.docx", "x-f30_10_a.docx", "x-f30_cover.docx", "x-F30_1_c.docx", "zz.docx"]
+    rows = listing(spark, sf_dir)
+    a = archives.pick(rows).select(F.lit("any").alias("asked"), "spec_id", "version")
+    return a.unionByName(archives.pick(rows, 16).select(F.lit("16").alias("asked"), "spec_id", "version"))
 
 
-@query("s5_part_order", f"SELECT name, row_number() OVER (ORDER BY coalesce(try_cast(nullif(regexp_extract(lower(name), '-[0-9a-z]{{3}}_(\\d+)_', 1), '') AS INTEGER), 999), lower(name)) AS place FROM (SELECT unnest({PARTS}) AS name)")
+@query("s5_part_order", f"WITH {CODED} SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY coalesce(try_cast(nullif(regexp_extract(lower(name), '-[0-9a-z]{{3}}_(\\d+)_', 1), '') AS INTEGER), 999), lower(name)) AS place FROM (SELECT doc_id, lang, 'x-' || code || '_' || (doc_id % 40) || '_T' || doc_id || '.docx' AS name FROM coded)")
 def s5_part_order(spark, sf_dir):
     from pyspark.sql import Window
 
-    d = values(spark, [(n,) for n in PARTS], "name string").withColumn("one", F.lit(1))
-    return d.select("name", F.row_number().over(Window.partitionBy("one").orderBy(T.part_order("name"))).cast("long").alias("place"))
+    name = F.concat(F.lit("x-"), "code", F.lit("_"), (F.col("doc_id") % 40).cast("string"), F.lit("_T"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    rows = coded(spark, sf_dir).withColumn("name", name)
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(T.part_order("name"))).cast("long").alias("place"))
 
 
 @query("s17_specs", "SELECT source AS spec_id, 'v' || min_by(doc_id % 7, doc_id) AS version, min_by(doc_id % 5, doc_id) AS release, count(*) AS chunks FROM documents GROUP BY source")
@@ -85,11 +101,13 @@ def f16_normalised(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(T.normalised("text")).alias("digest"))
 
 
-@query("f20_clause_matches", "SELECT a, b, a <> '' AND b <> '' AND (a = b OR starts_with(a, b || '.') OR starts_with(b, a || '.')) AS hit FROM (SELECT unnest(['', '5', '5.1', '5.1.2', '51', 'A', 'A.1']) AS a), (SELECT unnest(['', '5', '5.1', '5.1.2', '51', 'A', 'A.1']) AS b)")
+@query("f20_clause_matches", "SELECT doc_id, a, b, a <> '' AND b <> '' AND (a = b OR starts_with(a, b || '.') OR starts_with(b, a || '.')) AS hit FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(doc_id % 6 AS VARCHAR) WHEN 2 THEN (doc_id % 6) || '.' || (doc_id % 3) ELSE chr(65 + CAST(doc_id % 3 AS INTEGER)) || '.' || (doc_id % 5) END AS a, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN CAST(doc_id % 6 AS VARCHAR) WHEN 2 THEN (doc_id % 6) || '.' || (doc_id % 3) || '.4' WHEN 3 THEN (doc_id % 6) || '' || (doc_id % 3) ELSE chr(65 + CAST(doc_id % 3 AS INTEGER)) END AS b FROM documents)")
 def f20_clause_matches(spark, sf_dir):
-    names = ["", "5", "5.1", "5.1.2", "51", "A", "A.1"]
-    d = values(spark, [(a, b) for a in names for b in names], "a string, b string")
-    return d.select("a", "b", T.clause_matches("a", "b").alias("hit"))
+    d, t = F.col("doc_id"), lambda n: (F.col("doc_id") % n).cast("string")
+    letter = F.expr("char(65 + doc_id % 3)")
+    a = F.when(d % 4 == 0, "").when(d % 4 == 1, t(6)).when(d % 4 == 2, F.concat(t(6), F.lit("."), t(3))).otherwise(F.concat(letter, F.lit("."), t(5)))
+    b = F.when(d % 7 == 0, "").when(d % 7 == 1, t(6)).when(d % 7 == 2, F.concat(t(6), F.lit("."), t(3), F.lit(".4"))).when(d % 7 == 3, F.concat(t(6), t(3))).otherwise(letter)
+    return documents(spark, sf_dir).select("doc_id", a.alias("a"), b.alias("b")).withColumn("hit", T.clause_matches("a", "b"))
 
 
 @query("f14_chunk_sentences", "SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.;:])\\s+([A-Z0-9(\\[])', '\\1' || chr(30) || '\\2', 'g'), chr(30))) AS BIGINT) AS n FROM documents")
@@ -123,14 +141,44 @@ def c1_clauses(spark, sf_dir):
     return c.select("spec_id", F.size("paragraphs").cast("long").alias("paragraphs"), F.aggregate("paragraphs", F.lit(0).cast("long"), lambda a, p: a + F.length(p)).alias("chars"))
 
 
-HEADINGS = [(1, 1, "1", "Scope"), (2, 2, "1.1", "General"), (3, 3, "1.1.1", "Terms"), (4, 1, "", "Foreword"), (5, 2, "", "Preface"), (6, 1, "2", "Rules"), (7, 3, "2.1.1", "Skipped"), (8, 3, "2.1.2", "Next"), (9, 2, "2.2", "Back")]
+#: Documents as headings of their source, in order of their ids; every eleventh is one that is left out.
+HEADED = """headed AS (SELECT source AS spec_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS clause_no, CAST(1 + (doc_id * 7 + doc_id // 3) % 4 AS INTEGER) AS level, CASE WHEN doc_id % 11 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS number, CASE WHEN doc_id % 11 = 0 THEN 'Foreword' ELSE lang END AS heading FROM documents)"""
 
 
-@query("c2_ancestry", "SELECT * FROM (VALUES (1, ''), (2, '1 Scope'), (3, '1 Scope > 1.1 General'), (4, ''), (5, ''), (6, ''), (7, '2 Rules'), (8, '2 Rules > 2.1.1 Skipped'), (9, '2 Rules')) t(clause_no, trail)")
+@query(
+    "c2_ancestry",
+    f"""WITH RECURSIVE {HEADED}, fold AS (
+SELECT spec_id, clause_no, CAST([] AS VARCHAR[]) AS ancestors, CASE WHEN heading = 'Foreword' THEN CAST([] AS VARCHAR[]) ELSE [trim(number || ' ' || heading)] END AS stack FROM headed WHERE clause_no = 1
+UNION ALL SELECT h.spec_id, h.clause_no, f.stack[1:h.level - 1], CASE WHEN h.heading = 'Foreword' THEN f.stack[1:h.level - 1] ELSE list_append(f.stack[1:h.level - 1], trim(h.number || ' ' || h.heading)) END FROM fold f JOIN headed h ON h.spec_id = f.spec_id AND h.clause_no = f.clause_no + 1)
+SELECT spec_id, clause_no, array_to_string(ancestors, ' > ') AS trail FROM fold""",
+)
 def c2_ancestry(spark, sf_dir):
-    h = values(spark, [("s", *x) for x in HEADINGS], "spec_id string, clause_no int, level int, number string, heading string")
-    rows = C.ancestry(h)
-    return rows.select("clause_no", F.array_join(F.transform("ancestors", lambda a: T.label(a["number"], a["heading"])), " > ").alias("trail"))
+    from pyspark.sql import Window
+
+    d = F.col("doc_id")
+    no = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
+    out = d % 11 == 0
+    h = documents(spark, sf_dir).select(F.col("source").alias("spec_id"), no.alias("clause_no"), (1 + (d * 7 + F.floor(d / 3)) % 4).cast("int").alias("level"), F.when(out, "").otherwise(d.cast("string")).alias("number"), F.when(out, "Foreword").otherwise(F.col("lang")).alias("heading"))
+    return C.ancestry(h).select("spec_id", "clause_no", F.array_join(F.transform("ancestors", lambda a: T.label(a["number"], a["heading"])), " > ").alias("trail"))
+
+
+#: Documents as blocks of their source: every third opens a clause, some of which are left out or informative.
+BLOCKS = """blocks AS (SELECT source AS spec_id, doc_id AS pos, doc_id % 3 = 0 AS opens, CASE WHEN doc_id % 33 = 0 THEN 'Change history' WHEN doc_id % 12 = 0 THEN 'Annex ' || chr(65 + CAST(doc_id % 26 AS INTEGER)) || ' (informative): Notes' WHEN doc_id % 15 = 0 THEN 'Annex Z: Rules' ELSE doc_id || chr(9) || 'Title' END AS head, text FROM documents),
+numbered AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w AS clause_no, coalesce(last_value(CASE WHEN opens AND starts_with(head, 'Annex') THEN NOT contains(head, 'informative') END IGNORE NULLS) OVER w, true) AS normative FROM blocks WINDOW w AS (PARTITION BY spec_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "c3_clauses",
+    f"""WITH {BLOCKS}, heads AS (SELECT * FROM numbered WHERE opens AND head <> 'Change history'), bodies AS (SELECT spec_id, clause_no, count(*) AS paragraphs FROM numbered WHERE NOT opens AND clause_no > 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY spec_id, clause_no)
+SELECT h.spec_id, CAST(h.clause_no AS BIGINT) AS clause_no, CASE WHEN starts_with(head, 'Annex') THEN substr(head, 7, 1) ELSE CAST(h.pos AS VARCHAR) END AS number, CASE WHEN starts_with(head, 'Annex Z:') THEN 'Rules' WHEN starts_with(head, 'Annex') THEN 'Notes' ELSE 'Title' END AS heading, h.normative, b.paragraphs FROM heads h JOIN bodies b USING (spec_id, clause_no)""",
+)
+def c3_clauses(spark, sf_dir):
+    """Which clauses stay, their numbers and whether they are normative."""
+    d = F.col("doc_id")
+    head = F.when(d % 33 == 0, "Change history").when(d % 12 == 0, F.expr("concat('Annex ', char(65 + doc_id % 26), ' (informative): Notes')")).when(d % 15 == 0, "Annex Z: Rules").otherwise(F.concat(d.cast("string"), F.lit("\tTitle")))
+    opens = d % 3 == 0
+    b = documents(spark, sf_dir).select(F.col("source").alias("spec_id"), d.alias("pos"), F.lit("p").alias("kind"), F.when(opens, "Heading1").otherwise("").alias("style"), F.when(opens, head).otherwise(F.col("text")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    return C.clauses(b).select("spec_id", F.col("clause_no").cast("long").alias("clause_no"), "number", "heading", "normative", F.size("paragraphs").cast("long").alias("paragraphs"))
 
 
 def document_clauses(spark, sf_dir):
@@ -194,19 +242,32 @@ def g5_expand(spark, sf_dir):
 
 # --- headings and paragraphs ------------------------------------------------------------------
 
-RAW_HEADINGS = [("4\tGeneral", "4", "General"), ("5.1.2A\tUse  of keys", "5.1.2A", "Use  of keys"), ("Annex B (informative):\tChanges", "B", "Changes"), ("Foreword", "", "Foreword"), ("A.1\tPart", "A.1", "Part"), ("Annex C: Title", "C", "Title"), ("\t ", "", "")]
+RAW = """raws AS (SELECT doc_id, lang, source, doc_id % 5 AS k, doc_id % 9 AS n, chr(65 + CAST(doc_id % 26 AS INTEGER)) AS letter FROM documents)"""
 
 
-@query("f10_headings", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{h}', {i})" for i, (_, n, h) in enumerate(RAW_HEADINGS)) + ") t(number, heading, i)")
+@query(
+    "f10_headings",
+    f"""WITH {RAW} SELECT doc_id, CASE k WHEN 0 THEN (1 + n) || '.' || (doc_id % 7) WHEN 1 THEN letter WHEN 2 THEN '' WHEN 3 THEN letter || '.1' ELSE n || 'A' END AS number,
+CASE k WHEN 0 THEN 'Title ' || lang WHEN 1 THEN 'Notes ' || source WHEN 2 THEN 'Foreword ' || lang WHEN 3 THEN source ELSE 'x  y' END AS heading FROM raws""",
+)
 def f10_headings(spark, sf_dir):
-    d = values(spark, [(i, r) for i, (r, _, _) in enumerate(RAW_HEADINGS)], "i int, raw string")
-    return d.select("i", T.split_heading("raw").alias("h")).select("i", "h.number", "h.heading")
-
-
-@query("f5_heading_levels", "SELECT style, try_cast(nullif(regexp_extract(style, '(?i)^heading\\s*([1-9])$', 1), '') AS INTEGER) AS level FROM (SELECT unnest(['Heading1', 'heading 9', 'HEADING  3', 'Heading10', 'TOC1', '']) AS style)")
+    d, letter = F.col("doc_id"), F.expr("char(65 + doc_id % 26)")
+    t = lambda x: x.cast("string")
+    raw = (
+        F.when(d % 5 == 0, F.concat(t(1 + d % 9), F.lit("."), t(d % 7), F.lit("\tTitle "), "lang"))
+        .when(d % 5 == 1, F.concat(F.lit("Annex "), letter, F.lit(" (informative):\tNotes "), "source"))
+        .when(d % 5 == 2, F.concat(F.lit("Foreword\t"), "lang"))
+        .when(d % 5 == 3, F.concat(letter, F.lit(".1\t"), "source", F.lit("\n")))
+        .otherwise(F.concat(F.lit("  "), t(d % 9), F.lit("A\tx  y")))
+    )
+    return documents(spark, sf_dir).select("doc_id", T.split_heading(raw).alias("h")).select("doc_id", "h.number", "h.heading")
+
+
+@query("f5_heading_levels", "SELECT doc_id, style, try_cast(nullif(regexp_extract(style, '(?i)^heading\\s*([1-9])$', 1), '') AS INTEGER) AS level FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Heading' WHEN 1 THEN 'heading ' WHEN 2 THEN 'HEADING  ' ELSE 'TOC' END || (doc_id % 12) AS style FROM documents)")
 def f5_heading_levels(spark, sf_dir):
-    d = values(spark, [(x,) for x in ("Heading1", "heading 9", "HEADING  3", "Heading10", "TOC1", "")], "style string")
-    return d.select("style", T.heading_level("style").alias("level"))
+    d = F.col("doc_id")
+    style = F.concat(F.when(d % 4 == 0, "Heading").when(d % 4 == 1, "heading ").when(d % 4 == 2, "HEADING  ").otherwise("TOC"), (d % 12).cast("string"))
+    return documents(spark, sf_dir).select("doc_id", style.alias("style")).withColumn("level", T.heading_level("style"))
 
 
 @query("f11_rendered", "SELECT doc_id, 'B' || (1 + doc_id % 5) AS style, md5(repeat('  ', CAST(doc_id % 5 AS INTEGER)) || '- ' || trim(regexp_replace(trim(regexp_replace(text, ' {2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '^[-\\t ]+', ''), ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM documents WHERE trim(text) <> ''")
@@ -215,7 +276,55 @@ def f11_rendered(spark, sf_dir):
     return d.select("doc_id", "style", F.md5(T.rendered("style", "text")).alias("digest")).where("digest is not null")
 
 
-@query("f8_markdown", "SELECT 1 AS id, '| a | b\\|c |' || chr(10) || '|---|---|' || chr(10) || '| d |  |' || chr(10) || '| e f | g |' AS md")
+#: Documents as tables: a row a line, its first four words and a cell of their number as cells.
+CELLS = "cells AS (SELECT doc_id, list_transform(string_split(replace(text, '&', '|'), chr(10)), lambda x: string_split(x, ' ')[1:4]) AS r FROM documents)"
+
+
+def cells(spark, sf_dir):
+    rows = F.transform(F.split(F.replace("text", F.lit("&"), F.lit("|")), "\n"), lambda x: F.slice(F.split(x, " "), 1, 4))
+    return documents(spark, sf_dir).select("doc_id", rows.alias("rows"))
+
+
+@query(
+    "f8_markdown",
+    rf"""WITH {CELLS}, wide AS (SELECT doc_id, r, list_max(list_transform(r, lambda x: len(x))) AS w FROM cells),
+lines AS (SELECT doc_id, w, list_transform(r, lambda x: '| ' || array_to_string(list_concat(list_transform(x, lambda c: trim(replace(c, '|', '\|'))), list_transform(range(w - len(x)), lambda i: '')), ' | ') || ' |') AS l FROM wide)
+SELECT doc_id, md5(array_to_string(list_concat(l[1:1], ['|' || array_to_string(list_transform(range(w), lambda i: '---'), '|') || '|'], l[2:]), chr(10))) AS digest FROM lines""",
+)
 def f8_markdown(spark, sf_dir):
-    d = values(spark, [(1, [["a", "b|c"], ["d"], ["e\nf", " g "]])], "id int, rows array<array<string>>")
-    return d.select("id", T.markdown("rows").alias("md"))
+    return cells(spark, sf_dir).select("doc_id", F.md5(T.markdown("rows")).alias("digest"))
+
+
+@query("f9_table_text", f"WITH {CELLS} SELECT doc_id, md5(array_to_string(list_filter(list_transform(r, lambda x: array_to_string(list_filter(x, lambda c: c <> ''), ' — ')), lambda x: x <> ''), chr(10))) AS digest FROM cells")
+def f9_table_text(spark, sf_dir):
+    return cells(spark, sf_dir).select("doc_id", F.md5(T.table_text("rows")).alias("digest"))
+
+
+@query("g7_lookup", "SELECT 'DE' AS acronym, source AS expansion, row_number() OVER (ORDER BY source) AS ord FROM (SELECT DISTINCT source FROM documents WHERE lang = 'de')")
+def g7_lookup(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = documents(spark, sf_dir).select(F.upper("lang").alias("acronym"), F.col("source").alias("expansion")).distinct()
+    forms = rows.withColumn("ord", F.row_number().over(Window.partitionBy("acronym").orderBy("expansion")).cast("long"))
+    return store.lookup(forms, "de")
+
+
+@query("c13_links", "SELECT doc_id, lag(CAST(doc_id AS VARCHAR)) OVER w AS prev_id, lead(CAST(doc_id AS VARCHAR)) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY lang, doc_id)")
+def c13_links(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("id"), "source", "lang")
+    return C.linked(d, key="source", order=("lang", "doc_id")).select("doc_id", "prev_id", "next_id")
+
+
+@query("f18_model_prefix", "SELECT doc_id, m AS model, md5(CASE m WHEN 'e5-base' THEN 'query: ' WHEN 'bge-small' THEN 'Represent this sentence for searching relevant passages: ' ELSE '' END || text) AS query, md5(CASE m WHEN 'e5-base' THEN 'passage: ' ELSE '' END || text) AS passage FROM documents, (SELECT unnest(['e5-base', 'bge-small', 'other']) AS m)")
+def f18_model_prefix(spark, sf_dir):
+    rows = None
+    for name in ("e5-base", "bge-small", "other"):
+        one = documents(spark, sf_dir).select("doc_id", F.lit(name).alias("model"), F.md5(F.concat(F.lit(T.model_prefix(name, True)), "text")).alias("query"), F.md5(F.concat(F.lit(T.model_prefix(name, False)), "text")).alias("passage"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("f19_sigmoid", "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE) * 5)), 6) AS score FROM embeddings")
+def f19_sigmoid(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", F.round(T.sigmoid(F.col("embedding")[0].cast("double") * 5), 6).alias("score"))
