@@ -71,7 +71,7 @@ def i6_tfidf(spark, sf_dir):
 @query("i7_latent_vectors")
 def i7_latent_vectors(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    vectors, _ = I.latent_vectors(I.tfidf(I.postings(c), I.corpus_stats(c)), dims=64, features=512)
+    vectors, _ = I.latent_vectors(I.tfidf(I.postings(c), I.corpus_stats(c)))
     return vectors.select("pos", F.transform("vector", lambda x: F.round(F.abs(x), 4)).alias("vector"))
 
 
