@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseforge.functions import text as T
+from clauseforge.session import settled
 
 
 def tokenised(chunks: DataFrame, text_col: str = "indexed") -> DataFrame:
@@ -14,14 +15,39 @@ def tokenised(chunks: DataFrame, text_col: str = "indexed") -> DataFrame:
     return t.select("pos", F.size("tokens").cast("long").alias("dl"), "tokens")
 
 
-def postings(chunks: DataFrame, text_col: str = "indexed", only: DataFrame | None = None) -> DataFrame:
-    """(pos, dl, term, tf). With ``only`` (a table of terms) other terms are dropped before the shuffle."""
-    rows = tokenised(chunks, text_col).select("pos", "dl", F.explode("tokens").alias("term"))
+#: Stands for a chunk itself among its terms, so that one pass gives postings and lengths; no token is empty.
+MARK = ""
+
+
+def postings(chunks: DataFrame, text_col: str = "indexed", only: DataFrame | None = None, marked: bool = False) -> DataFrame:
+    """(pos, dl, term, tf). With ``only`` (a table of terms) other terms are dropped before the shuffle.
+
+    ``marked``: each chunk also has a row of the term MARK.
+    """
+    tokens = F.concat("tokens", F.array(F.lit(MARK))) if marked else F.col("tokens")
+    rows = tokenised(chunks, text_col).select("pos", "dl", F.explode(tokens).alias("term"))
     if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
+        wanted = only.select("term")
+        if marked:
+            wanted = wanted.unionByName(chunks.sparkSession.range(1).select(F.lit(MARK).alias("term")))
+        rows = rows.join(wanted.distinct(), "term", "left_semi")
     return rows.groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def corpus(chunks: DataFrame, text_col: str = "indexed", only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings and corpus statistics of chunks that are tokenised once; the postings are kept in the shared folder."""
+    held = settled(postings(chunks, text_col, only, marked=True))
+    stats = held.where(F.col("term") == MARK).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return held.where(F.col("term") != MARK), stats
+
+
+def tables(chunks: DataFrame, text_col: str = "indexed") -> dict[str, DataFrame]:
+    """What searches read of an index, for chunks without a stored one."""
+    posts, stats = corpus(chunks, text_col)
+    terms = term_stats(posts, stats)
+    return {"chunks": chunks, "postings": posts, "stats": stats, "terms": terms, "weights": tfidf(posts, stats, df=terms)}
+
+
 def corpus_stats(chunks: DataFrame, text_col: str = "indexed") -> DataFrame:
     """One row: number of chunks and their mean length, 1.0 if there is none."""
     lengths = tokenised(chunks, text_col)

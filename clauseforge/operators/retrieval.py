@@ -68,14 +68,13 @@ def bm25_scores(chunks: DataFrame, terms: DataFrame, text_col: str = "indexed",
     if tables is not None:
         stats, idf, posts = tables["stats"], tables["terms"], tables["postings"]
     else:
-        stats = I.corpus_stats(chunks, text_col)
-        posts = I.postings(chunks, text_col, only=terms)
+        posts, stats = I.corpus(chunks, text_col, only=terms)
         idf = I.term_stats(posts, stats)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     gain = F.col("w") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     asked = terms.join(idf.select("term", "idf"), "term")
-    # Of a stored index a few rows a question are read, so their number is soon checked and postings stay in place.
-    rows = posts.join(asked if tables is None else sized(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    # A few rows a question, so their number is soon checked and postings stay in place.
+    rows = posts.join(sized(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     return rows.groupBy("qid", "pos").agg(F.sum(gain).alias("score"))
 
 
@@ -135,17 +134,16 @@ def tfidf_search(chunks: DataFrame, questions: DataFrame, k: int, text_col: str
     if tables is not None:
         weights, n, df = tables["weights"], tables["stats"], tables["terms"].select("term", "df")
     else:
-        posts = I.postings(chunks, text_col)
-        n = I.corpus_stats(chunks, text_col)
-        weights = I.tfidf(posts, n, min_df, max_df)
+        posts, n = I.corpus(chunks, text_col)
         df = posts.groupBy("term").agg(F.count("*").alias("df"))
+        weights = I.tfidf(posts, n, min_df, max_df, df)
     terms = query_terms(questions)
     df = df.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(n.select("n")))
     idf = df.where(I.kept(min_df, max_df)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     q = terms.join(idf, "term").select("qid", "term", ((1 + F.log("w")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("qid")))
     q = q.select("qid", "term", (F.col("v") / F.greatest(norm, F.lit(1e-9))).alias("v"))
-    return ranked(weights.join(q if tables is None else sized(q), "term").groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("score")), k)
+    return ranked(weights.join(sized(q), "term").groupBy("qid", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("score")), k)
 
 
 # --- fusion and structure ---------------------------------------------------------------------

@@ -23,8 +23,7 @@ def questions(spark, sf_dir):
 
 
 def idf(spark, sf_dir, terms=None):
-    c = chunks(spark, sf_dir)
-    return I.term_stats(I.postings(c, only=terms), I.corpus_stats(c))
+    return I.term_stats(*I.corpus(chunks(spark, sf_dir), only=terms))
 
 
 def question_idf(spark, sf_dir):
@@ -64,14 +63,12 @@ def i3_term_stats(spark, sf_dir):
 
 @query("i6_tfidf", f"WITH {S.POSTINGS}, {S.QUERY}, {S.TFIDF} SELECT pos, term, round(w, 6) AS w FROM docw")
 def i6_tfidf(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return I.tfidf(I.postings(c), I.corpus_stats(c)).select("pos", "term", six("w"))
+    return I.tables(chunks(spark, sf_dir))["weights"].select("pos", "term", six("w"))
 
 
 @query("i7_latent_vectors")
 def i7_latent_vectors(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    vectors, _ = I.latent_vectors(I.tfidf(I.postings(c), I.corpus_stats(c)))
+    vectors, _ = I.latent_vectors(I.tables(chunks(spark, sf_dir))["weights"])
     return vectors.select("pos", F.transform("vector", lambda x: F.round(F.abs(x), 4)).alias("vector"))
 
 
@@ -127,7 +124,8 @@ def i6_tfidf_search(spark, sf_dir):
 
 def hybrid(spark, sf_dir):
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    return R.rrf([(R.bm25_search(c, q, 50), 1.0), (R.tfidf_search(c, q, 50), 1.0)])
+    held = I.tables(c)
+    return R.rrf([(R.bm25_search(c, q, 50, tables=held), 1.0), (R.tfidf_search(c, q, 50, tables=held), 1.0)])
 
 
 @query("q6_rrf", f"WITH {S.HYBRID} SELECT qid, pos, round(score, 8) AS score FROM fused")
@@ -209,7 +207,8 @@ def q17_diversified(spark, sf_dir):
 
 @query("q18_retrieve", f"WITH {S.HITS} SELECT qid, rank, pos, spec_id, clause, round(score, 6) AS score, round(fusion, 8) AS fusion, round(overlap, 6) AS overlap, false AS pinned FROM hits")
 def q18_retrieve(spark, sf_dir):
-    h = R.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), question_idf(spark, sf_dir))
+    held = I.tables(chunks(spark, sf_dir))
+    h = R.retrieve(held["chunks"], questions(spark, sf_dir), held["terms"], tables=held)
     return h.select("qid", "rank", "pos", "spec_id", "clause", six("score"), F.round("fusion", 8).alias("fusion"), six("overlap"), "pinned")
 
 
