@@ -369,8 +369,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
     there is a sample however many rows there are; of its windows FIT_WINDOWS are drawn.
     """
     rows = pages.select(F.xxhash64(quoted(id_col).cast("string")).alias("h"), quoted(html_col).alias("html"))
+    # One row a bucket, which is what is broadcast.
     least = rows.groupBy(F.pmod("h", F.lit(fit_pages)).alias("bucket")).agg(F.min("h").alias("h")).select("h")
-    drawn = rows.join(least, "h", "left_semi").groupBy("h").agg(F.min("html").alias("html"))
+    drawn = rows.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html"))
     windows = drawn.mapInArrow(_windows, "h long, x binary, y binary").sort("h", "x").limit(FIT_WINDOWS).collect()
     known = [(np.frombuffer(r.x, np.float32).reshape(-1, DIM), np.frombuffer(r.y, np.float32)) for r in windows]
     model = Labeller()

@@ -33,6 +33,8 @@ ORDERS = (5, 4, 3, 2, 1)
 MIN_COUNT = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
+#: Rows of (language, hash) that are broadcast, at most; with more languages than that the rows are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def sample(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -43,6 +45,9 @@ def sample(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", la
     """
     rows = docs.select(quoted(lang_col).alias("lang"), F.xxhash64(quoted(id_col).cast("string")).alias("h"), quoted(text_col).alias("text"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(fit_docs)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
+    least = cut(least)  # at most fit_docs rows of each language
+    if least.count() <= BROADCAST_ROWS:
+        least = F.broadcast(least)
     return rows.join(least, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
