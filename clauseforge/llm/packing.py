@@ -5,7 +5,8 @@ the rest goes to the smallest tier that holds it. Tiers are packed from the long
 gap of a window is filled with the longest pieces of shorter tiers that fit, and what is then
 still open with a cut of one more piece, so that windows are full. Windows are powers of two,
 which need no padding. What a partition has left at its end goes into ever smaller powers of two.
-Windows of one tier form step groups of equal token counts.
+Windows of one tier form step groups of equal token counts; what is left of all tiers at the end of
+a partition is put together, largest first, so that one group of a partition at most is short.
 
 A partition is packed on its own, in one streaming pass without a shuffle, so the work and
 memory of a task do not depend on the size of the input; a lost task gives the same rows again.
@@ -44,7 +45,8 @@ class Packer:
         self.base, self.sequences, self.serial = partition << 32, 0, 0
         self.docs: dict[int, list] = {}
         self.waiting: list[tuple[int, int, int]] = []
-        self.steps: dict[int, list[int]] = {}
+        #: By tier the windows (rows without their group) of the step group that is filling.
+        self.steps: dict[int, list[list[tuple]]] = {}
         self.groups = 0
         self.rows: list[tuple] = []
 
@@ -61,20 +63,38 @@ class Packer:
             self.pack()
 
     def close(self, window: int, pieces: list[tuple[int, int, int]]) -> None:
-        group = self.steps.get(window)
-        if group is None or group[1] == max(1, self.step_tokens // window):
-            group = self.steps[window] = [self.base + self.groups, 0]
-            self.groups += 1
-        group[1] += 1
-        sequence, offset = self.base + self.sequences, 0
+        sequence, offset, rows = self.base + self.sequences, 0, []
         self.sequences += 1
         for length, serial, start in pieces:
             doc = self.docs[serial]
-            self.rows.append((doc[0], start, length, doc[1][4 * start : 4 * (start + length)], doc[2], sequence, offset, window, group[0]))
+            rows.append((doc[0], start, length, doc[1][4 * start : 4 * (start + length)], doc[2], sequence, offset, window))
             offset += length
             doc[3] -= length
             if not doc[3]:
                 del self.docs[serial]
+        held = self.steps.setdefault(window, [])
+        held.append(rows)
+        if len(held) * window >= self.step_tokens:
+            self.emit(self.steps.pop(window))
+
+    def emit(self, windows: list[list[tuple]]) -> None:
+        """The rows of one step group."""
+        self.rows += [(*row, self.base + self.groups) for rows in windows for row in rows]
+        self.groups += 1
+
+    def balance(self) -> None:
+        """What is left of all tiers as groups of equal token counts; powers of two leave no gap but in the last."""
+        group, held = [], 0
+        for window in sorted(self.steps, reverse=True):
+            for rows in self.steps[window]:
+                if held + window > self.step_tokens and group:
+                    self.emit(group)
+                    group, held = [], 0
+                group.append(rows)
+                held += window
+        if group:
+            self.emit(group)
+        self.steps = {}
 
     def pack(self, last: bool = False) -> None:
         pool, self.waiting = sorted(self.waiting), []
@@ -138,6 +158,7 @@ def pack_partition(path: str, end_id: int = END_ID, tiers=TIERS, step_tokens: in
             if rows := packer.take():
                 yield _batch(rows)
         packer.pack(last=True)
+        packer.balance()
         if rows := packer.take():
             yield _batch(rows)
 
