@@ -242,10 +242,13 @@ def s10_stored_index(spark, sf_dir):
     """Write an index to the shared folder, read it again, and answer from its tables alone."""
     import uuid
 
-    from clauseforge.session import shared_folder
+    from clauseforge.session import remove, settled, shared_folder
     from clauseforge.sources import store
 
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     store.build(chunks(spark, sf_dir), path)
     tables = store.load(spark, path)
-    return R.retrieve(tables["chunks"], questions(spark, sf_dir), tables["terms"], tables=tables).select("qid", "rank", "pos", six("score"))
+    found = R.retrieve(tables["chunks"], questions(spark, sf_dir), tables["terms"], tables=tables).select("qid", "rank", "pos", six("score"))
+    found = settled(found)  # a few rows a question
+    remove(spark, path)
+    return found
