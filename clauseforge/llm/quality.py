@@ -112,10 +112,18 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, all their columns, with failing lines taken out of the text."""
-    words, lines, good = fresh(docs, "_words", "_lines", "_good")
-    out = judged(docs, quoted(text_col), words, lines, good)
-    n, repeated = F.size(words), repeat_words(F.col(words))
-    lost = n - n_words(F.array_join(good, "\n"))
-    out = out.where((n >= MIN_WORDS) & (repeated * 100 <= n * MAX_REPEAT_PERCENT) & (lost <= n * MAX_LOST))
-    return out.withColumn(text_col, F.array_join(good, "\n")).select(*map(quoted, docs.columns))
+    """The rows of ``docs`` that are kept, all their columns, with failing lines taken out of the text.
+
+    Rejected rows go by exploding an empty array: a filter would be pushed below the columns it is
+    made of, and all rules would be evaluated twice.
+    """
+    text, (good,) = F.coalesce(quoted(text_col), F.lit("")), fresh(docs, "_good")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    both = F.struct(words_of(text).alias("words"), F.array_join(F.filter(lines, line_passes), "\n").alias("good"))
+
+    def decided(x: Column) -> Column:
+        n, lost = F.size(x["words"]), F.size(x["words"]) - n_words(x["good"])
+        keep = (n >= MIN_WORDS) & (repeat_words(x["words"]) * 100 <= n * MAX_REPEAT_PERCENT) & (lost <= n * MAX_LOST)
+        return F.when(keep, F.array(x["good"])).otherwise(F.array().cast("array<string>"))
+
+    return docs.withColumn(good, F.explode(let(both, decided))).withColumn(text_col, quoted(good)).select(*map(quoted, docs.columns))
