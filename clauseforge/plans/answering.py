@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -238,7 +240,7 @@ def e5_summary(spark, sf_dir):
     return E.summary(items)
 
 
-CHECKED = """golden AS (SELECT doc_id AS qid, doc_id % 4 <> 0 AS expect_answerable, [upper(substr(text, 1, 5)), 'zz' || doc_id] AS must_include, [lang || ' ', substr(text, 8, 4)] AS must_not_include FROM documents),
+CHECKED = """golden AS (SELECT doc_id AS qid, doc_id % 4 <> 0 AS expect_answerable, [translate(substr(text, 1, 5), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'zz' || doc_id] AS must_include, [lang || ' ', substr(text, 8, 4)] AS must_not_include FROM documents),
 given AS (SELECT doc_id AS qid, text AS answer, doc_id % 5 = 0 AS abstained, doc_id % 3 AS offered, CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE CAST([] AS INTEGER[]) END AS cited FROM documents)"""
 
 
@@ -249,7 +251,7 @@ array_to_string(CASE WHEN abstained THEN CAST([] AS VARCHAR[]) ELSE list_filter(
 )
 def e3_item_checks(spark, sf_dir):
     d, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
-    golden = d.select(n.alias("qid"), (n % 4 != 0).alias("expect_answerable"), F.array(F.upper(F.substring("text", 1, 5)), F.concat(F.lit("zz"), n.cast("string"))).alias("must_include"), F.array(F.concat("lang", F.lit(" ")), F.substring("text", 8, 4)).alias("must_not_include"))
+    golden = d.select(n.alias("qid"), (n % 4 != 0).alias("expect_answerable"), F.array(F.translate(F.substring("text", 1, 5), ascii_lowercase, ascii_uppercase), F.concat(F.lit("zz"), n.cast("string"))).alias("must_include"), F.array(F.concat("lang", F.lit(" ")), F.substring("text", 8, 4)).alias("must_not_include"))
     given = d.select(n.alias("qid"), F.col("text").alias("answer"), (n % 5 == 0).alias("abstained"), (n % 3).alias("offered"), F.when(n % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("cited"))
     rows = E.item_checks(given, golden)
     return rows.select("qid", "expect_answerable", "abstained", "correct_decision", F.array_join("missing_required", "|").alias("missing"), F.array_join("forbidden_present", "|").alias("forbidden"), "citations_valid")

@@ -219,11 +219,17 @@ def q18_retrieve_bm25(spark, sf_dir):
     return R.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), question_idf(spark, sf_dir), mode="bm25", rerank=False).select("qid", "pos", "rank")
 
 
-@query("q19_missing_specs", "SELECT * FROM (VALUES ('a', '99.999'), ('b', '24.007')) t(qid, spec_id)")
+#: Each document asks for two specifications around its own text; those that ten of eleven documents are of are known.
+ASKED = r"""asked AS (SELECT doc_id AS qid, unnest([(20 + doc_id % 19) || '.' || (100 + doc_id % 7), (20 + doc_id % 3) || '.' || (200 + doc_id % 5)]) AS spec_id FROM documents),
+named AS (SELECT qid, spec_id FROM asked UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(?:TS|TR)\s*(\d{2}\.\d{3})\b', 1)) FROM documents)"""
+
+
+@query("q19_missing_specs", f"WITH {ASKED} SELECT qid, spec_id FROM named WHERE spec_id NOT IN (SELECT (20 + doc_id % 19) || '.' || (100 + doc_id % 5) FROM documents WHERE doc_id % 11 <> 0)")
 def q19_missing_specs(spark, sf_dir):
-    q = spark.createDataFrame([("a", "What do TS 99.999 and ts 24.501 say?"), ("b", "TR24.007, TR 24.007 and TS 23.1234"), ("c", "no reference")], "qid string, question string")
-    known = spark.createDataFrame([("24.501",)], "spec_id string")
-    return R.missing_specs(q, known)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spec = lambda a, n, b, m: F.concat((a + F.col("doc_id") % n).cast("string"), F.lit("."), (b + F.col("doc_id") % m).cast("string"))
+    q = d.select(F.col("doc_id").alias("qid"), F.concat(F.lit("What does TS "), spec(20, 19, 100, 7), F.lit(" say: "), "text", F.lit(" and tr"), spec(20, 3, 200, 5), F.lit("?")).alias("question"))
+    return R.missing_specs(q, d.where("doc_id % 11 <> 0").select(spec(20, 19, 100, 5).alias("spec_id")))
 
 
 @query(

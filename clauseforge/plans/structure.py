@@ -211,33 +211,56 @@ def c12_unique_ids(spark, sf_dir):
     return C.linked(C.unique_ids(rows, order=("clause_no",)), order=("clause_no",))
 
 
-# --- lexicon ----------------------------------------------------------------------------------
+# --- lexicon: a document is an abbreviation clause whose paragraphs come from its lines ---------
 
-ENTRIES = ["ABC\tAlpha Beta Code", "abc2\t\tsecond  Alpha ;", "XYZ\tSee", "No tab here", "ABC\talpha beta code", "DEF\tAlpha Beta Code", "ABC\tAnother Big Concept", "ABC\tThird Form Here", "LONG\tone two three four five six seven eight", "lower\tno capital letters", "SAME\tsame"]
-MINED = "(VALUES ('ABC', 'Alpha Beta Code', 1), ('ABC', 'Another Big Concept', 2), ('ABC', 'Third Form Here', 3), ('ABC2', 'second Alpha', 1), ('DEF', 'Alpha Beta Code', 1)) t(acronym, expansion, ord)"
+#: Of each line the first three words in small letters, and their initials as acronym; a form of two words for every other line.
+MINED = r"""lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE doc_id % 5 <> 0),
+worded AS (SELECT doc_id, source, ln, regexp_extract_all(line, '[a-z]{3,}')[1 : 2 + ln % 2] AS ws FROM lines),
+entries AS (SELECT source, doc_id, ln, upper(array_to_string(list_transform(ws, lambda w: w[1]), '')) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-' || (doc_id % 3) END AS acronym, array_to_string(ws, ' ') AS expansion FROM worded WHERE len(ws) = 2 + ln % 2 AND len(array_to_string(ws, ' ')) <= 120),
+kept AS (SELECT * FROM entries WHERE lower(expansion) <> lower(acronym)),
+firsts AS (SELECT acronym, expansion, min(row(source, doc_id, ln)) AS place FROM kept GROUP BY acronym, expansion),
+forms AS (SELECT acronym, expansion, place, row_number() OVER (PARTITION BY acronym ORDER BY place) AS ord, min(place) OVER (PARTITION BY acronym) AS origin FROM firsts),
+phrases AS (SELECT expansion AS phrase, arg_min(acronym, row(origin, ord)) AS acronym FROM forms GROUP BY expansion)"""
 
 
-def abbreviations(spark):
-    return values(spark, [("s", 3, "3.2 Abbreviations used", ENTRIES), ("s", 4, "Other", ["QQQ\tNot Mined"])], "spec_id string, clause_no int, heading string, paragraphs array<string>")
+def abbreviations(spark, sf_dir):
+    """Clauses of abbreviations; those of every fifth document have another heading, and a line without a tab is no entry."""
+    d = F.col("doc_id")
+
+    def line(x, i):
+        ws = F.slice(F.regexp_extract_all(x, F.lit("[a-z]{3,}"), F.lit(0)), 1, 2 + (i + 1) % 2)
+        acronym = F.concat(F.upper(F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")), F.when(d % 2 == 0, "").otherwise(F.concat(F.lit("-"), (d % 3).cast("string"))))
+        return F.when(F.size(ws) == 2 + (i + 1) % 2, F.concat(acronym, F.lit("\t"), F.array_join(ws, " "))).otherwise(x)
+
+    heading = F.when(d % 5 == 0, "3.1 Definitions").otherwise("3.2 Abbreviations used")
+    return documents(spark, sf_dir).select(F.col("source").alias("spec_id"), d.alias("clause_no"), heading.alias("heading"), F.transform(F.split("text", "\n"), line).alias("paragraphs"))
+
+
+def mined(spark, sf_dir):
+    return C.lexicon(C.entries(abbreviations(spark, sf_dir)))
 
 
-@query("g3_lexicon", f"SELECT acronym, expansion, CAST(ord AS BIGINT) AS ord FROM {MINED}")
+@query("g3_lexicon", f"WITH {MINED} SELECT acronym, expansion, ord FROM forms")
 def g3_lexicon(spark, sf_dir):
-    return C.lexicon(C.entries(abbreviations(spark)))[0]
+    return mined(spark, sf_dir)[0]
 
 
-@query("g4_reverse", f"SELECT lower(expansion) AS phrase, min(acronym) AS acronym FROM {MINED} GROUP BY lower(expansion)")
+@query("g4_reverse", f"WITH {MINED} SELECT phrase, acronym FROM phrases")
 def g4_reverse(spark, sf_dir):
-    return C.lexicon(C.entries(abbreviations(spark)))[1]
+    return mined(spark, sf_dir)[1]
 
 
 @query(
     "g5_expand",
-    "SELECT item_id AS qid, CAST(ord AS BIGINT) AS ord, expansion FROM benchmark, (VALUES (1, 'Alpha Beta Code'), (2, 'Another Big Concept'), (3, 'ABC'), (4, 'ABC2')) t(ord, expansion)",
+    rf"""WITH {MINED}, asked AS (SELECT item_id AS qid, regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*') AS ws FROM benchmark),
+single AS (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM asked),
+grams AS (SELECT qid, -n AS b, i AS c, lower(array_to_string(ws[i : i + n - 1], ' ')) AS phrase FROM (SELECT qid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM asked, (SELECT unnest(range(2, 8)) AS n))),
+found AS (SELECT qid, row(0, i, ord) AS place, expansion FROM single s JOIN forms f ON f.acronym = upper(s.w) AND ord <= 2 UNION ALL SELECT qid, row(1, b, c), acronym FROM grams JOIN phrases USING (phrase)),
+once AS (SELECT qid, lower(expansion), arg_min(expansion, place) AS expansion, min(place) AS place FROM found GROUP BY qid, lower(expansion))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY place) AS ord, expansion FROM once""",
 )
 def g5_expand(spark, sf_dir):
-    q = questions(spark, sf_dir).withColumn("question", F.lit("the alpha beta code of ABC, its second alpha and def"))
-    return C.expand(q, *C.lexicon(C.entries(abbreviations(spark))))
+    return C.expand(questions(spark, sf_dir), *mined(spark, sf_dir))
 
 
 # --- headings and paragraphs ------------------------------------------------------------------
