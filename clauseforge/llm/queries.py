@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.llm import bpe, decontaminate, html_text, langid, packing, pii, quality, secrets, simhash, substrings
+from clauseforge.llm import best_fit, bpe, decontaminate, html_text, interactions, langid, packing, pii, quality, secrets, simhash, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,10 +20,10 @@ def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -76,3 +76,17 @@ def op9_html_text(spark, sf_dir):
 @query
 def op6_substrings(spark, sf_dir):
     return substrings.digest(read(spark, sf_dir))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return interactions.audit(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = interactions.SQL
+
+
+@query
+def op12_best_fit(spark, sf_dir):
+    pieces = best_fit.pack_documents(read(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "doc_tokens")
