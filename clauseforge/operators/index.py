@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseforge.functions import text as T
+from clauseforge.operators import latent
 from clauseforge.session import settled
 
 
@@ -88,111 +89,14 @@ def tfidf(posts: DataFrame, n: DataFrame, min_df: int = 2, max_df: float = 0.6,
     return raw.select("pos", "term", (F.col("w") / F.greatest(norm, F.lit(1e-9))).alias("w"))
 
 
-def hashed(weights: DataFrame, features: int, seed: int = 0, key: str = "pos") -> DataFrame:
-    """(key, r): the entries (f, w) of each row, its terms hashed into ``features`` columns with a sign."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(features)).cast("int")
-    sign = F.when(F.pmod(F.xxhash64("term", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    rows = weights.select(key, slot.alias("f"), (sign * F.col("w")).alias("w")).groupBy(key, "f").agg(F.sum("w").alias("w"))
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))  # at most ``features`` entries a row
+def latent_vectors(weights: DataFrame, dims: int = 256, **options) -> tuple[DataFrame, DataFrame]:
+    """(pos, vector) of unit length from a truncated decomposition of TF-IDF rows, and the basis (f, term, row)."""
+    return latent.latent_vectors(weights, dims, **options)
 
 
-def _entries(column) -> tuple:
-    """Flat columns and weights of a batch of hashed rows, and where each row ends."""
-    import numpy as np
-
-    flat = column.flatten()
-    ends = np.cumsum([0, *(column.value_lengths().to_numpy(zero_copy_only=False))])
-    return flat.field("f").to_numpy(), flat.field("w").to_numpy(), ends
-
-
-def gram(rows: DataFrame, features: int):
-    """The Gram matrix of hashed rows.
-
-    Each task sums the products of its rows in one matrix and sends its rows that are not zero; the
-    same rows of all tasks are summed in a second step, so ``features`` rows reach the driver.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    def sent(total, at):
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(total[at].reshape(-1)), features).cast(pa.list_(pa.float32()))], names=["i", "row"])
-
-    def products(batches):
-        total = np.zeros((features, features), np.float32)
-        for batch in batches:
-            f, w, ends = _entries(batch.column(0))
-            for first in range(0, len(ends) - 1, 512):
-                a, b = ends[first], ends[min(first + 512, len(ends) - 1)]
-                dense = np.zeros((min(512, len(ends) - 1 - first), features), np.float32)
-                dense[np.repeat(np.arange(len(dense)), np.diff(ends[first : first + len(dense) + 1])), f[a:b]] = w[a:b]
-                total += dense.T @ dense
-        at = np.flatnonzero(total.any(axis=1))
-        for a in range(0, len(at), 256):
-            yield sent(total, at[a : a + 256])
-
-    def summed(batches):
-        total: dict = {}
-        for batch in batches:
-            values = batch.column(1).flatten().to_numpy().reshape(-1, features)
-            for i, row in zip(batch.column(0).to_pylist(), values):
-                total[i] = total[i] + row if i in total else row.copy()
-        at = np.array(sorted(total), np.int64)
-        for a in range(0, len(at), 256):
-            part = np.array([total[i] for i in at[a : a + 256].tolist()], np.float32)
-            out = sent(part, np.arange(len(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 256].astype(np.int32)), out.column(1)], names=["i", "row"])
-
-    schema = "i int, row array<float>"
-    found = rows.select("r").mapInArrow(products, schema).repartition("i").mapInArrow(summed, schema).toArrow()
-    matrix = np.zeros((features, features))
-    for i, row in zip(found["i"].to_pylist(), found["row"]):
-        matrix[i] = row.values.to_numpy()
-    return (matrix + matrix.T) / 2
-
-
-def latent_vectors(weights: DataFrame, dims: int = 256, features: int = 4096, seed: int = 0) -> tuple[DataFrame, list[list[float]]]:
-    """(pos, vector) of unit length from a truncated decomposition of TF-IDF rows, and the basis.
-
-    Terms are hashed into ``features`` columns, which bounds the Gram matrix that two steps of sums
-    make, whatever the vocabulary; its leading eigenvectors are the right singular vectors.
-    """
-    import numpy as np
-
-    rows = hashed(weights, features, seed)
-    values, vectors = np.linalg.eigh(gram(rows, features))
-    order = np.argsort(values)[::-1][: min(dims, features - 1)]
-    basis = vectors[:, order[values[order] > 1e-6 * max(float(values.max()), 1e-12)]]
-    return project(rows, basis), basis.tolist()
-
-
-def project(rows: DataFrame, basis, key: str = "pos") -> DataFrame:
-    """(key, vector) of the hashed rows (key, r) on a basis, of unit length."""
-    import numpy as np
-    import pyarrow as pa
-
-    table = np.asarray(basis)
-
-    def run(batches):
-        for batch in batches:
-            f, w, ends = _entries(batch.column(1))
-            for first in range(0, batch.num_rows, 512):
-                n = min(512, batch.num_rows - first)
-                dense = np.zeros((n, len(table)))
-                a, b = ends[first], ends[first + n]
-                dense[np.repeat(np.arange(n), np.diff(ends[first : first + n + 1])), f[a:b]] = w[a:b]
-                out = dense @ table
-                out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-                vectors = pa.ListArray.from_arrays(np.arange(0, (n + 1) * table.shape[1], table.shape[1], dtype=np.int32)[: n + 1], pa.array(out.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), vectors], names=[key, "vector"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "r").mapInArrow(run, f"{key} {kind}, vector array<double>")
-
-
-def encoded(questions: DataFrame, terms: DataFrame, stats: DataFrame, basis: DataFrame, features: int = 4096, min_df: int = 2, max_df: float = 0.6) -> DataFrame:
+def encoded(questions: DataFrame, terms: DataFrame, stats: DataFrame, basis: DataFrame, min_df: int = 2, max_df: float = 0.6) -> DataFrame:
     """(qid, vector) of questions (qid, question) on the stored ``basis`` of latent vectors."""
-    matrix = [r.row for r in basis.sort("f").collect()]  # one row a hashed column
     asked = questions.select("qid", F.explode(T.tokens("question")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("tf"))
     known = terms.select("term", "df").crossJoin(F.broadcast(stats.select("n"))).where(kept(min_df, max_df))
     weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    return project(hashed(asked.join(known, "term").select("qid", "term", weight.alias("w")), features, key="qid"), matrix, "qid")
+    return latent.encoded(asked.join(known, "term").select("qid", "term", weight.alias("w")), basis)

@@ -66,10 +66,22 @@ def i6_tfidf(spark, sf_dir):
     return I.tables(chunks(spark, sf_dir))["weights"].select("pos", "term", six("w"))
 
 
-@query("i7_latent_vectors")
+@query(
+    "i7_latent_vectors",
+    f"""WITH {S.POSTINGS}, {S.QUERY}, {S.TFIDF}, held AS (SELECT pos, min(pos) OVER (PARTITION BY indexed) AS first FROM chunks SEMI JOIN docw USING (pos)),
+shape AS (SELECT least(256, greatest(2, least((SELECT count(*) FROM held), (SELECT count(*) FROM kept)) - 1)) AS dims)
+SELECT pos, first, dims, CAST(1 AS DOUBLE) AS length, CAST(1 AS DOUBLE) AS cosine_with_first FROM held, shape""",
+)
 def i7_latent_vectors(spark, sf_dir):
-    vectors, _ = I.latent_vectors(I.tables(chunks(spark, sf_dir))["weights"])
-    return vectors.select("pos", F.transform("vector", lambda x: F.round(F.abs(x), 4)).alias("vector"))
+    """What holds of latent vectors: their number of dimensions, unit length, and that equal texts have equal vectors."""
+    c = chunks(spark, sf_dir)
+    vectors, _ = I.latent_vectors(I.tables(c)["weights"])
+    held = vectors.join(c.select("pos", F.sha2("indexed", 256).alias("key")), "pos")
+    # Of each text the vector of its first chunk; a text with many copies is summed before it is joined.
+    firsts = held.groupBy("key").agg(F.min_by(F.struct("pos", "vector"), "pos").alias("a")).select("key", F.col("a.pos").alias("first"), F.col("a.vector").alias("other"))
+    dot = lambda a, b: F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x), 4)
+    rows = held.join(firsts, "key")
+    return rows.select("pos", "first", F.size("vector").cast("long").alias("dims"), dot("vector", "vector").alias("length"), dot("vector", "other").alias("cosine_with_first"))
 
 
 @query("q1_bm25_scores", f"WITH {S.POSTINGS}, {S.QUERY}, bm AS ({S.bm25()}) SELECT qid, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM bm GROUP BY qid")

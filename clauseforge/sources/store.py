@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseforge.operators import index as I
 
-FORMAT = 3
+FORMAT = 4
 
 
 def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, reverse: DataFrame | None = None, text_col: str = "indexed", mode: str = "errorifexists", latent_dims: int = 0, embeddings: str | None = None, vectors: DataFrame | None = None) -> None:
@@ -32,14 +32,14 @@ def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, revers
     I.term_stats(posts, stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
     weights = I.tfidf(posts, stats, df=spark.read.parquet(f"{path}/terms"))
     weights.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
-    basis = []
+    basis = spark.createDataFrame([], "f int, term string, row array<float>")
     if latent_dims:
         vectors, basis = I.latent_vectors(spark.read.parquet(f"{path}/weights"), latent_dims)
         embeddings = "latent"
     if vectors is None:
         vectors = spark.createDataFrame([], "pos long, vector array<double>")
     vectors.write.mode(mode).parquet(f"{path}/vectors")
-    spark.createDataFrame([(i, row) for i, row in enumerate(basis)], "f int, row array<double>").coalesce(1).write.mode(mode).parquet(f"{path}/basis")
+    basis.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/basis")
     for name, table, schema in (("lexicon", forward, "acronym string, expansion string, ord long"), ("reverse", reverse, "phrase string, acronym string")):
         (spark.createDataFrame([], schema) if table is None else table).write.mode(mode).parquet(f"{path}/{name}")
     meta = spark.createDataFrame([(FORMAT, datetime.now(timezone.utc).isoformat(timespec="seconds"), embeddings or "none")], "format int, built_at string, embeddings string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -13,8 +14,10 @@ from clauseforge.config import Guard, Retrieval, Settings, load_env
 from clauseforge.engine import Engine
 from clauseforge.operators import answers as A
 from clauseforge.operators import index as I
+from clauseforge.operators import latent as L
 from clauseforge.operators import plugins as P
 from clauseforge.operators import retrieval as R
+from clauseforge.session import settled
 from clauseforge.sources import archives, store
 from tests.test_engine import MANUAL, ask, index, parts  # noqa: F401
 
@@ -81,31 +84,67 @@ def test_models_by_name(monkeypatch):
         P.resolve(P.MODELS, "other")
 
 
-def test_latent_vectors_against_a_plain_decomposition(spark):
+def dense_rows(weights, limit):
+    """TF-IDF rows as a plain matrix over the columns."""
+    of = L.columns(weights, limit)
+    rows = {r.pos: r.r for r in L.entries(weights, of, limit).collect()}
+    dense = np.zeros((max(rows) + 1, limit if of is None else of.count()))
+    for pos, entries in rows.items():
+        for e in entries:
+            dense[pos, e.f] = e.w
+    return dense
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 16])
+def test_latent_vectors_against_a_plain_decomposition(spark, limit):
+    """Over the kept terms, and over hashed columns where there are more terms than columns."""
     rng = np.random.default_rng(3)
     words = [f"t{i}" for i in range(40)]
     texts = [" ".join(rng.choice(words[(k % 4) * 10 : (k % 4) * 10 + 12], 15)) for k in range(60)]
-    chunks = spark.createDataFrame(list(enumerate(texts)), "pos long, indexed string")
+    chunks = spark.createDataFrame(list(enumerate(texts)), "pos long, indexed string").repartition(3)
     stats = I.corpus_stats(chunks)
-    weights = I.tfidf(I.postings(chunks), stats)
-    rows = {r.pos: {e.f: e.w for e in r.r} for r in I.hashed(weights, 512).collect()}
-    dense = np.zeros((60, 512))
-    for k, entries in rows.items():
-        for f, w in entries.items():
-            dense[k, f] = w
-    assert np.abs(I.gram(I.hashed(weights, 512), 512) - dense.T @ dense).max() < 1e-4
-    vectors, basis = I.latent_vectors(weights, dims=8, features=512)
+    weights = I.tfidf(I.postings(chunks), stats).cache()
+    dense = dense_rows(weights, limit)
+    assert dense.shape[1] == min(limit, 40)
+    x = rng.standard_normal((dense.shape[1], 5))
+    assert np.abs(L.times(L.entries(weights, L.columns(weights, limit), limit), x) - dense.T @ (dense @ x)).max() < 1e-4
+    vectors, basis = I.latent_vectors(weights, dims=8, limit=limit)
     got = np.array([r.vector for r in vectors.sort("pos").collect()])
     u, s, vt = np.linalg.svd(dense, full_matrices=False)
     plain = dense @ vt[:8].T
     plain /= np.linalg.norm(plain, axis=1, keepdims=True)
     assert got.shape == (60, 8) and np.abs(got @ got.T - plain @ plain.T).max() < 1e-3
-    table = spark.createDataFrame(list(enumerate(basis)), "f int, row array<double>")
     terms = I.term_stats(I.postings(chunks), stats)
-    asked = I.encoded(spark.createDataFrame([(0, texts[7])], "qid long, question string"), terms, stats, table, 512).first().vector
+    asked = I.encoded(spark.createDataFrame([(0, texts[7])], "qid long, question string"), terms, stats, basis).first().vector
     assert abs(np.dot(asked, got[7]) - 1) < 1e-6
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_latent_vectors_of_the_tables(spark):
+    """256 dimensions over all kept terms of 1,000 documents, whose singular values fall slowly."""
+    from clauseforge.plans.search import chunks
+
+    weights = settled(I.tables(chunks(spark, "/root/testdata/sf0.01"))["weights"])
+    of = L.columns(weights)
+    rows, m = settled(L.entries(weights, of)), of.count()
+    basis, sigma = L.leading(rows, m, 256)
+    dense = dense_rows(weights, L.MAX_COLUMNS)
+    plain = np.sqrt(np.maximum(np.linalg.eigvalsh(dense @ dense.T)[::-1], 0))
+    assert m > 20_000 and np.abs(basis.T @ basis - np.eye(256)).max() < 1e-4
+    assert abs((sigma**2).sum() / (plain[:256] ** 2).sum() - 1) < 3e-3  # the 256th value is 1.045, the 300th 1.03: as good as tied
+    assert np.abs(sigma[:32] / plain[:32] - 1).max() < 1e-3
+    assert abs(((dense @ basis) ** 2).sum() / (sigma**2).sum() - 1) < 1e-3
+
+
+def test_latent_vectors_of_little(spark):
+    none = spark.createDataFrame([], "pos long, term string, w double")
+    vectors, basis = I.latent_vectors(none)
+    assert vectors.count() == basis.count() == 0
+    same = spark.createDataFrame([(i, t, 0.6 if t == "a" else 0.8) for i in range(4) for t in "ab"], "pos long, term string, w double")
+    vectors, _ = I.latent_vectors(same)  # of rank one: the second dimension is zero
+    assert [[round(abs(x), 6) for x in r.vector] for r in vectors.collect()] == [[1.0, 0.0]] * 4
+
+
 def test_stored_vectors_are_used(spark, index):  # noqa: F811
     engine = Engine(spark, index)
     assert engine.indexed == "latent" and engine.vectors.count() == 4
