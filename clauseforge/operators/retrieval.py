@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseforge.functions import text as T
+from clauseforge.operators import blocks
 from clauseforge.operators import index as I
+from clauseforge.session import settled
 
 #: Weights, bounds and patterns that results depend on.
 K1, B = 1.4, 0.72
@@ -26,8 +28,9 @@ MAX_PINS = 8
 MIN_VOCABULARY = 5000
 SPEC_REF = r"(?i)\b(?:TS|TR)\s*(\d{2}\.\d{3})\b"
 CLAUSE_REF = r"(?i)\b(?:clause|section|subclause)\s+((?:\d+|[A-Z])(?:\.\d+[A-Za-z]?)*)(?![A-Za-z0-9])"
-#: Values of one block of query vectors sent to the workers.
-QUERY_BLOCK = 4096
+#: Queries that are multiplied at once, and numbers of query vectors that are sent to the workers for one pass.
+QUERY_BLOCK = 256
+QUERY_VALUES = 1 << 22
 
 
 def nine(score: Column | str) -> Column:
@@ -78,55 +81,73 @@ def bm25_scores(chunks: DataFrame, terms: DataFrame, text_col: str = "indexed",
     return rows.groupBy("qid", "pos").agg(F.sum(gain).alias("score"))
 
 
+#: Terms of questions, counted by question, that are sent to all tasks.
+ASKED_TERMS = 200_000
+
+
 def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, expansions: DataFrame | None = None, text_col: str = "indexed", tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(qid, pos, score, rank), scores above zero only."""
-    return ranked(bm25_scores(chunks, query_terms(questions, expansions), text_col, tables=tables).where("score > 0"), k)
+    """(qid, pos, score, rank), scores above zero only.
+
+    A stored index has its postings in blocks of chunks, which are scored where they lie; a set of questions
+    that is too large to be sent there is joined with the postings instead.
+    """
+    terms = query_terms(questions, expansions)
+    if tables is not None and "blocks" in tables:
+        terms = settled(terms)
+        if terms.count() <= ASKED_TERMS:
+            asked = tables["terms"].join(F.broadcast(terms), "term").select("qid", "term", (F.col("w") * F.col("idf")).alias("weight"))
+            avgdl = tables["stats"].first().avgdl
+            return ranked(blocks.search(tables["blocks"], asked, avgdl, k, K1, B), k)
+    return ranked(bm25_scores(chunks, terms, text_col, tables=tables).where("score > 0"), k)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, pos, score, rank) of the ``k`` largest dot products; negative ones count too.
 
-    Queries (qid, vector) are sent out in blocks of bounded size; each batch of rows is one matrix
-    product and keeps k rows a query, so what is shuffled does not grow with the rows of a batch.
+    Queries (qid, vector) are sent to all tasks, QUERY_VALUES numbers in one pass over the vectors,
+    as a rule all of them. A task multiplies its batches by QUERY_BLOCK queries at a time and keeps the
+    best k of each, so what is shuffled does not grow with the vectors of a task.
     """
     import numpy as np
     import pyarrow as pa
 
     spark, out = vectors.sparkSession, None
-    rows = queries.select("qid", "vector").sort("qid").toLocalIterator()
-    block: list[tuple] = []
+    kind = queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {kind}, pos long, score double"
 
     def search(block: list[tuple]) -> DataFrame:
-        ids = [q for q, _ in block]
-        matrix = spark.sparkContext.broadcast(np.array([v for _, v in block], np.float64))
-        kind = pa.string() if isinstance(ids[0], str) else pa.int64()
+        held = spark.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
 
         def run(batches):
-            q = matrix.value
+            ids, matrix = held.value
+            found = blocks.Best(len(ids), k)
             for batch in batches:
-                if not batch.num_rows:
+                column, n = batch.column(1), batch.num_rows
+                if not n:
                     continue
-                x = np.array(batch.column(1).to_pylist(), np.float64)
+                x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
                 pos = batch.column(0).to_numpy()
-                scores = q @ x.T
-                key = np.round(scores, 9)
-                best = [np.lexsort((pos, -row))[:k] for row in key]
-                of = np.repeat(np.arange(len(ids)), [len(b) for b in best])
-                at = np.concatenate(best)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of], kind), pa.array(pos[at]), pa.array(scores[of, at])], names=["qid", "pos", "score"])
-
-        return vectors.select("pos", "vector").mapInArrow(run, f"qid {'string' if kind == pa.string() else 'long'}, pos long, score double")
+                for a in range(0, len(ids), QUERY_BLOCK):
+                    scores = matrix[a : a + QUERY_BLOCK] @ x.T
+                    key = np.round(scores, 9)
+                    floor = found.least[a : a + QUERY_BLOCK]
+                    if n > k:
+                        floor = np.maximum(floor, np.partition(key, n - k, axis=1)[:, n - k])
+                    q, at = np.nonzero(key >= floor[:, None])
+                    found.add(q + a, pos[at], scores[q, at])
+            yield from found.rows(pa.array(ids, pa.string() if kind == "string" else pa.int64()))
+
+        return vectors.select("pos", "vector").mapInArrow(run, schema)
 
-    for r in rows:
+    block: list[tuple] = []
+    for r in queries.select("qid", "vector").sort("qid").toLocalIterator():
         block.append((r.qid, r.vector))
-        if len(block) * len(r.vector) >= QUERY_BLOCK * 64:
+        if len(block) * len(r.vector) >= QUERY_VALUES:
             out = search(block) if out is None else out.unionByName(search(block))
             block = []
     if block:
         out = search(block) if out is None else out.unionByName(search(block))
-    if out is None:
-        return queries.select("qid", F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    return ranked(out, k)
+    return ranked(spark.createDataFrame([], schema) if out is None else out, k)
 
 
 def tfidf_search(chunks: DataFrame, questions: DataFrame, k: int, text_col: str = "indexed", min_df: int = 2, max_df: float = 0.6, tables: dict[str, DataFrame] | None = None) -> DataFrame:

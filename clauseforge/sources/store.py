@@ -7,13 +7,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseforge.operators import blocks
 from clauseforge.operators import index as I
 
 FORMAT = 4
 
 
 def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, reverse: DataFrame | None = None, text_col: str = "indexed", mode: str = "errorifexists", latent_dims: int = 0, embeddings: str | None = None, vectors: DataFrame | None = None) -> None:
-    """Write chunks, postings, TF-IDF weights, term and corpus statistics, vectors, lexicon and meta below ``path``.
+    """Write chunks, postings (by term and in blocks of chunks), TF-IDF weights, term and corpus statistics, vectors, lexicon and meta below ``path``.
 
     Postings and weights are ranged by term and place, so that a question reads few row groups and
     a frequent term is spread over tasks. With ``latent_dims`` latent vectors and their basis are
@@ -27,6 +28,7 @@ def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, revers
     chunks = spark.read.parquet(f"{path}/chunks")
     I.postings(chunks, text_col).repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/postings")
     posts = spark.read.parquet(f"{path}/postings")
+    blocks.blocked(posts).write.mode(mode).parquet(f"{path}/blocks")
     I.stats_of(posts, chunks).write.mode(mode).parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
     I.term_stats(posts, stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
@@ -56,7 +58,7 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         raise FileNotFoundError(f"no index at {path}") from e
     if meta is None or meta.format != FORMAT:
         raise ValueError(f"the index at {path} is of format {meta and meta.format}, not {FORMAT}; build it again")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "weights", "terms", "stats", "lexicon", "reverse", "vectors", "basis", "meta")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "blocks", "weights", "terms", "stats", "lexicon", "reverse", "vectors", "basis", "meta")}
 
 
 def specs(chunks: DataFrame) -> DataFrame:
