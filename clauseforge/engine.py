@@ -14,6 +14,7 @@ from clauseforge.operators import index as I
 from clauseforge.operators import plugins as P
 from clauseforge.operators import retrieval as R
 from clauseforge.operators import verify as V
+from clauseforge.operators.segments import running
 from clauseforge.session import settled
 from clauseforge.sources import docx, store
 
@@ -51,8 +52,8 @@ def positioned(chunks: DataFrame) -> DataFrame:
     offsets = chunks.groupBy("spec_id").agg(F.count("*").alias("_n"))
     # One row a specification meets in one task, not the chunks.
     starts = offsets.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("spec_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    row = F.row_number().over(Window.partitionBy("spec_id").orderBy("clause_no", "part")) - 1
-    rows = chunks.join(starts, "spec_id").withColumn("pos", (F.col("_start") + row).cast("long")).drop("_start")
+    rows = running(chunks, ["spec_id"], ["clause_no", "part"], _row=("sum", F.lit(1))).join(starts, "spec_id")
+    rows = rows.withColumn("pos", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_start", "_row")
     return rows.withColumn("indexed", F.concat(head, F.lit("\n\n"), "text")).withColumn("header", head)
 
 

@@ -65,6 +65,15 @@ def blocked(postings: DataFrame) -> DataFrame:
     return rows.repartitionByRange("block").sortWithinPartitions("block", "term", "pos").mapInArrow(_packed, SCHEMA)
 
 
+def total_length(blocks: DataFrame) -> DataFrame:
+    """(total): the summed lengths of all chunks, one row."""
+
+    def sums(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(int(np.frombuffer(x, np.int64).sum()) for b in batches for x in b.column(0).to_pylist())], pa.int64())], names=["total"])
+
+    return blocks.select("dl").mapInArrow(sums, "total long").agg(F.sum("total").alias("total"))
+
+
 class Asked:
     """Weights of terms by question: for each term the questions that have it, one after the other."""
 

@@ -55,12 +55,11 @@ def corpus_stats(chunks: DataFrame, text_col: str = "indexed") -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
-def stats_of(posts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The same from stored postings: lengths come with them, chunks without a token count as empty."""
-    held = posts.select("pos", "dl").distinct().agg(F.sum("dl").alias("total"))
+def stats_of(total: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same from the summed lengths (total) of stored postings; chunks without a token count as empty."""
     n = chunks.agg(F.count("*").alias("n"))
     mean = F.when(F.col("n") > 0, F.coalesce("total", F.lit(0)) / F.col("n")).otherwise(1.0)
-    return n.crossJoin(F.broadcast(held)).select("n", mean.alias("avgdl"))  # one row each
+    return n.crossJoin(F.broadcast(total)).select("n", mean.alias("avgdl"))  # one row each
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:

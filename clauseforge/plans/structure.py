@@ -194,7 +194,32 @@ def c7_whole_or_packed(spark, sf_dir):
     return p.select("clause_no", (T.count_tokens(F.array_join(F.filter("paragraphs", lambda b: F.trim(b) != ""), "\n\n")) <= 480).alias("whole"))
 
 
-@query("c10_packed_chunks")
+#: Packing as a recursion over prefix sums of sizes: groups of sentences of long lines, then pieces of lines.
+PACKED = r"""lines AS (SELECT doc_id, source, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
+sized AS (SELECT *, array_to_string(ls, chr(10) || chr(10)) AS whole, len(regexp_extract_all(array_to_string(ls, chr(10) || chr(10)), '[A-Za-z0-9]+(?:[-.''][A-Za-z0-9]+)*')) AS n FROM lines WHERE len(ls) > 0),
+long_lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM sized WHERE n > 480)),
+measured AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[A-Za-z0-9]+(?:[-.''][A-Za-z0-9]+)*')) AS size FROM long_lines),
+sentences AS (SELECT doc_id, i, string_split(regexp_replace(line, '([.;:])\s+([A-Z0-9(\[])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS s FROM measured WHERE size > 480),
+summed AS (SELECT doc_id, i, s, list_transform(range(0, len(s) + 1), lambda k: CAST(coalesce(list_sum(list_transform(s[1:k], lambda x: len(regexp_extract_all(x, '[A-Za-z0-9]+(?:[-.''][A-Za-z0-9]+)*')))), 0) AS BIGINT)) AS c FROM sentences),
+filled AS (SELECT doc_id, i, s, c, CAST(0 AS BIGINT) AS a, greatest(1, len(list_filter(c, lambda x: x <= 320)) - 1) AS z FROM summed
+UNION ALL SELECT doc_id, i, s, c, z, greatest(z + 1, len(list_filter(c, lambda x: x <= c[z + 1] + 320)) - 1) FROM filled WHERE z < len(s)),
+units AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS k, line AS unit FROM measured WHERE size <= 480 UNION ALL SELECT doc_id, i, a, array_to_string(s[a + 1 : z], ' ') FROM filled),
+lists AS (SELECT doc_id, list(unit ORDER BY i, k) AS u, list(len(regexp_extract_all(unit, '[A-Za-z0-9]+(?:[-.''][A-Za-z0-9]+)*')) ORDER BY i, k) AS sizes FROM units GROUP BY doc_id),
+prefixes AS (SELECT doc_id, u, list_transform(range(0, len(u) + 1), lambda k: CAST(coalesce(list_sum(sizes[1:k]), 0) AS BIGINT)) AS c FROM lists),
+cut AS (SELECT doc_id, u, c, 0 AS no, CAST(0 AS BIGINT) AS a, greatest(1, len(list_filter(c, lambda x: x <= 320)) - 1) AS z FROM prefixes
+UNION ALL SELECT doc_id, u, c, no + 1, a2, greatest(z + 1, len(list_filter(c, lambda x: x <= c[a2 + 1] + 320)) - 1) FROM (SELECT *, greatest(a, len(list_filter(c, lambda x: x < c[z + 1] - 48))) AS a2 FROM cut WHERE z < len(u))),
+stripped AS (SELECT doc_id, no, trim(array_to_string(u[a + 1 : z], chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM cut),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS part, count(*) OVER (PARTITION BY doc_id) AS parts, text FROM stripped WHERE text <> '' UNION ALL SELECT doc_id, 0, 1, trim(whole) FROM sized WHERE n <= 480),
+named AS (SELECT p.*, source AS spec_id, source || '#' || lang || '#' || part AS id FROM pieces p JOIN documents USING (doc_id)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY spec_id, id ORDER BY doc_id, part) - 1 AS nth FROM named),
+chunked AS (SELECT spec_id, doc_id AS clause_no, part, parts, id || CASE WHEN nth > 0 THEN '~' || nth ELSE '' END AS id, text FROM counted)"""
+
+
+@query(
+    "c10_packed_chunks",
+    f"""WITH RECURSIVE {PACKED} SELECT spec_id, clause_no, CAST(part AS INTEGER) AS part, CAST(parts AS INTEGER) AS parts, id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-.''][A-Za-z0-9]+)*')) AS INTEGER) AS tokens, md5(text) AS digest,
+lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM chunked WINDOW w AS (PARTITION BY spec_id ORDER BY clause_no, part)""",
+)
 def c10_packed_chunks(spark, sf_dir):
     c = C.chunks(document_clauses(spark, sf_dir))
     return c.select("spec_id", "clause_no", "part", "parts", "id", "tokens", F.md5("text").alias("digest"), "prev_id", "next_id")

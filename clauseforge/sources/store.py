@@ -29,7 +29,7 @@ def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, revers
     I.postings(chunks, text_col).repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/postings")
     posts = spark.read.parquet(f"{path}/postings")
     blocks.blocked(posts).write.mode(mode).parquet(f"{path}/blocks")
-    I.stats_of(posts, chunks).write.mode(mode).parquet(f"{path}/stats")
+    I.stats_of(blocks.total_length(spark.read.parquet(f"{path}/blocks")), chunks).write.mode(mode).parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
     I.term_stats(posts, stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
     weights = I.tfidf(posts, stats, df=spark.read.parquet(f"{path}/terms"))
