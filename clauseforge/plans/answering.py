@@ -98,12 +98,12 @@ def a10_answers(spark, sf_dir):
     return A.assembled(q, A.gate(A.signals(q, h)), settled(verdicts))
 
 
-ANSWERS = "SELECT conv_id * 1000 + turn AS qid, '- ' || text || ' [S1][S' || (1 + turn % 3) || ']' || chr(10) || '* plain line [S2] ' AS answer FROM conversations WHERE role = 'assistant'"
+ANSWERS = "SELECT conv_id * 1000 + turn AS qid, '- ' || text || ' [S1][S' || (1 + turn % 3) || ']' || chr(10) || '* plain line [S2] ' || chr(10) || 'Limit ' || (conv_id % 3) || '.5 of T30' || (conv_id % 4) || ' in MM IDLE [S1]' AS answer FROM conversations WHERE role = 'assistant'"
 
 
 def conversation_answers(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
-    answer = F.concat(F.lit("- "), "text", F.lit(" [S1][S"), (1 + F.col("turn") % 3).cast("string"), F.lit("]\n* plain line [S2] "))
+    answer = F.concat(F.lit("- "), "text", F.lit(" [S1][S"), (1 + F.col("turn") % 3).cast("string"), F.lit("]\n* plain line [S2] \nLimit "), (F.col("conv_id") % 3).cast("string"), F.lit(".5 of T30"), (F.col("conv_id") % 4).cast("string"), F.lit(" in MM IDLE [S1]"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), answer.alias("answer"))
 
 
@@ -118,21 +118,17 @@ def v1_claims(spark, sf_dir):
 
 
 def user_turns(spark, sf_dir):
-    """Of each assistant turn the two texts before it, as sources 1 and 2."""
+    """Of each assistant turn the two texts before it, as sources 1 and 2, each with values of its own."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    values = F.concat(F.lit(" limit "), (F.col("conv_id") % 2).cast("string"), F.lit(".5 t30"), (F.col("conv_id") % 2).cast("string"), F.lit(" mm idle"))
+    c = c.withColumn("text", F.concat("text", values))
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = c.withColumn("a", F.lag("text", 1).over(w)).withColumn("b", F.lag("text", 2).over(w)).where("role = 'assistant'")
     n = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("a").alias("text")), F.struct(F.lit(2).alias("n"), F.col("b").alias("text"))))
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), n.alias("s")).select("qid", "s.n", "s.text").where("text is not null")
 
 
-@query("v5_verify")
-def v5_verify(spark, sf_dir):
-    verdicts = V.verified(V.claims(conversation_answers(spark, sf_dir)), user_turns(spark, sf_dir), question_idf(spark, sf_dir))
-    return verdicts.select("qid", "claim_no", "supported", six("support"), F.array_join("ungrounded", ",").alias("ungrounded"), "reason")
-
-
-SUPPORT = rf"""turns AS (SELECT conv_id, turn, role, lag(text, 1) OVER w AS a, lag(text, 2) OVER w AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+SUPPORT = rf"""turns AS (SELECT conv_id, turn, role, lag(told, 1) OVER w AS a, lag(told, 2) OVER w AS b FROM (SELECT *, text || ' limit ' || (conv_id % 2) || '.5 t30' || (conv_id % 2) || ' mm idle' AS told FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 srcs AS (SELECT conv_id * 1000 + turn AS qid, 1 AS n, regexp_replace(lower(a), '[\s]+', ' ', 'g') AS body FROM turns WHERE role = 'assistant' AND a IS NOT NULL UNION ALL SELECT conv_id * 1000 + turn, 2, regexp_replace(lower(b), '[\s]+', ' ', 'g') FROM turns WHERE role = 'assistant' AND b IS NOT NULL),
 merged AS (SELECT c.qid, c.claim_no, any_value(c.text) AS text, string_agg(s.body, ' ' ORDER BY s.n) AS body FROM (SELECT qid, claim_no, text, unnest(citations) AS n FROM claims) c JOIN srcs s USING (qid, n) GROUP BY c.qid, c.claim_no),
 cterms AS (SELECT DISTINCT qid, claim_no, body, unnest({S.tokens('text')}) AS term FROM merged)"""
@@ -164,11 +160,35 @@ def v2_hard_tokens(spark, sf_dir):
     return d.select("doc_id", F.array_join(F.filter(V.hard_tokens(text), lambda t: t.rlike("[A-Za-z]")), "|").alias("hard"))
 
 
-@query("v6_groundedness", f"WITH answers AS ({ANSWERS}), {CLAIMS} SELECT a.qid, count(c.qid) AS claims, CAST(coalesce(sum(CASE WHEN length(c.text) % 2 = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS kept, round(coalesce(avg(CASE WHEN length(c.text) % 2 = 0 THEN 1.0 ELSE 0.0 END), 0), 6) AS groundedness FROM answers a LEFT JOIN (SELECT * FROM claims WHERE text <> '') c USING (qid) GROUP BY a.qid")
+#: A number stands at the start of a run of word characters and dots, and ends before a dot or with the run.
+NUMBERS_SQL = r"list_filter(list_transform(regexp_extract_all(t, '[\p{L}\p{M}\p{Nd}\p{Pc}.]+'), lambda r: regexp_extract(r, '^(\d+(?:\.\d+)*)(?:\.|$)', 1)), lambda r: r <> '')"
+VERDICTS = rf"""shares AS (SELECT qid, claim_no, sum(CASE WHEN contains(body, term) THEN coalesce(idf, 6.0) ELSE 0 END) / sum(coalesce(idf, 6.0)) AS support FROM cterms LEFT JOIN terms USING (term) GROUP BY qid, claim_no),
+held AS (SELECT qid, claim_no, body, text AS t, {S.tokens('body', True)} AS ts FROM merged),
+listed AS (SELECT *, flatten([{HARD_SQL}, list_filter(regexp_extract_all(t, '\b[A-Z][A-Z0-9]{{2,}}(?:[-/][A-Z0-9]+)*\b'), lambda w: NOT list_contains({list(V.AMBIENT)}, w)), {NUMBERS_SQL}]) AS l FROM held),
+keys AS (SELECT *, list_transform(l, lambda w: regexp_replace(lower(w), '\s+', ' ', 'g')) AS k FROM listed),
+missed AS (SELECT qid, claim_no, list_filter(l, lambda w, i: list_position(k, k[i]) = i AND NOT CASE WHEN contains(k[i], ' ') THEN contains(body, k[i]) ELSE list_contains(ts, k[i]) OR contains(replace(body, ' ', ''), k[i]) END) AS bad FROM keys),
+verdicts AS (SELECT c.qid, c.claim_no, c.text, CASE WHEN m.qid IS NULL THEN 0.0 ELSE coalesce(s.support, 0.0) END AS support, coalesce(array_to_string(m.bad, ','), '') AS ungrounded,
+  CASE WHEN m.qid IS NULL THEN 'no valid citation' WHEN len(m.bad) > 0 THEN 'not in the cited passage: ' || array_to_string(m.bad[1:5], ', ') WHEN round(coalesce(s.support, 0.0), 9) < 0.45 THEN 'weak support ' ELSE 'grounded' END AS reason
+  FROM claims c LEFT JOIN missed m USING (qid, claim_no) LEFT JOIN shares s USING (qid, claim_no) WHERE c.text <> '')"""
+
+
+def verdicts(spark, sf_dir):
+    return V.verified(V.claims(conversation_answers(spark, sf_dir)), user_turns(spark, sf_dir), idf(spark, sf_dir))
+
+
+@query("v5_verify", f"WITH {S.POSTINGS}, answers AS ({ANSWERS}), {CLAIMS}, {SUPPORT}, {VERDICTS} SELECT qid, claim_no, reason = 'grounded' AS supported, round(support, 6) AS support, ungrounded, reason FROM verdicts")
+def v5_verify(spark, sf_dir):
+    """Verdicts on the assistant's turns against the two texts before them; a reason without its figure."""
+    reason = F.substring_index("reason", "(", 1).alias("reason")
+    return verdicts(spark, sf_dir).select("qid", "claim_no", "supported", six("support"), F.array_join("ungrounded", ",").alias("ungrounded"), reason)
+
+
+@query(
+    "v6_groundedness",
+    f"WITH {S.POSTINGS}, answers AS ({ANSWERS}), {CLAIMS}, {SUPPORT}, {VERDICTS} SELECT a.qid, count(v.qid) AS claims, CAST(coalesce(sum(CASE WHEN reason = 'grounded' THEN 1 ELSE 0 END), 0) AS BIGINT) AS kept, round(coalesce(avg(CASE WHEN reason = 'grounded' THEN 1.0 ELSE 0.0 END), 0), 6) AS groundedness FROM answers a LEFT JOIN verdicts v USING (qid) GROUP BY a.qid",
+)
 def v6_groundedness(spark, sf_dir):
-    answers = conversation_answers(spark, sf_dir)
-    verdicts = V.claims(answers).withColumn("supported", F.length("text") % 2 == 0)
-    return V.groundedness(verdicts, answers).select("qid", "claims", "kept", six("groundedness"))
+    return V.groundedness(verdicts(spark, sf_dir), conversation_answers(spark, sf_dir)).select("qid", "claims", "kept", six("groundedness"))
 
 
 # --- evaluation on passages that the documents hold verbatim ----------------------------------
