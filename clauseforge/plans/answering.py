@@ -77,25 +77,15 @@ def lines(spark, sf_dir):
     return A.extractive(context(spark, sf_dir), R.weighted_terms(questions(spark, sf_dir), question_idf(spark, sf_dir)))
 
 
-@query(
-    "a7_extractive",
-    f"""WITH {CONTEXT}, spans AS ({quotes("(SELECT qid, rank AS n, body FROM used WHERE rank <= 3)", "qid, n", "body")}),
+EXTRACTED = f"""{CONTEXT}, spans AS ({quotes("(SELECT qid, rank AS n, body FROM used WHERE rank <= 3)", "qid, n", "body")}),
 qdu AS (SELECT DISTINCT qid, term, coalesce(idf, 6.0) AS idf FROM qdt LEFT JOIN terms USING (term)),
-graded AS (SELECT s.qid, s.n, s.ln, s.sn, any_value(s.sentence) AS sentence, sum(CASE WHEN contains(lower(s.sentence), d.term) THEN d.idf ELSE 0 END) AS score FROM spans s JOIN qdu d USING (qid) GROUP BY s.qid, s.n, s.ln, s.sn)
-SELECT qid, n, line, sentence || ' [S' || n || ']' AS text FROM (SELECT *, row_number() OVER (PARTITION BY qid, n ORDER BY round(score, 9) DESC, ln, sn) AS line FROM graded) WHERE line <= 2""",
-)
-def a7_extractive(spark, sf_dir):
-    return lines(spark, sf_dir).select("qid", "n", "line", "text")
+graded AS (SELECT s.qid, s.n, s.ln, s.sn, any_value(s.sentence) AS sentence, sum(CASE WHEN contains(lower(s.sentence), d.term) THEN d.idf ELSE 0 END) AS score FROM spans s JOIN qdu d USING (qid) GROUP BY s.qid, s.n, s.ln, s.sn),
+quoted AS (SELECT qid, n, line, sentence || ' [S' || n || ']' AS text FROM (SELECT *, row_number() OVER (PARTITION BY qid, n ORDER BY round(score, 9) DESC, ln, sn) AS line FROM graded) WHERE line <= 2)"""
 
 
-@query("a10_answers")
-def a10_answers(spark, sf_dir):
-    """Gate, extractive lines, claims, verification and assembly for every benchmark question."""
-    q, h, idf = questions(spark, sf_dir), settled(hits(spark, sf_dir)), settled(question_idf(spark, sf_dir))
-    used = settled(context(spark, sf_dir, h))
-    raw = A.extractive(used, R.weighted_terms(q, idf)).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line", "text"))), lambda x: x["text"]), "\n").alias("answer"))
-    verdicts = V.verified(settled(V.claims(raw)), used.select("qid", "n", F.col("indexed").alias("text")), idf)
-    return A.assembled(q, A.gate(A.signals(q, h)), settled(verdicts))
+@query("a7_extractive", f"WITH {EXTRACTED} SELECT qid, n, line, text FROM quoted")
+def a7_extractive(spark, sf_dir):
+    return lines(spark, sf_dir).select("qid", "n", "line", "text")
 
 
 ANSWERS = "SELECT conv_id * 1000 + turn AS qid, '- ' || text || ' [S1][S' || (1 + turn % 3) || ']' || chr(10) || '* plain line [S2] ' || chr(10) || 'Limit ' || (conv_id % 3) || '.5 of T30' || (conv_id % 4) || ' in MM IDLE [S1]' AS answer FROM conversations WHERE role = 'assistant'"
@@ -128,10 +118,11 @@ def user_turns(spark, sf_dir):
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), n.alias("s")).select("qid", "s.n", "s.text").where("text is not null")
 
 
+CITED = rf"""merged AS (SELECT c.qid, c.claim_no, any_value(c.text) AS text, string_agg(s.body, ' ' ORDER BY s.n) AS body FROM (SELECT qid, claim_no, text, unnest(citations) AS n FROM claims) c JOIN srcs s USING (qid, n) GROUP BY c.qid, c.claim_no),
+cterms AS (SELECT DISTINCT qid, claim_no, body, unnest({S.tokens('text')}) AS term FROM merged)"""
 SUPPORT = rf"""turns AS (SELECT conv_id, turn, role, lag(told, 1) OVER w AS a, lag(told, 2) OVER w AS b FROM (SELECT *, text || ' limit ' || (conv_id % 2) || '.5 t30' || (conv_id % 2) || ' mm idle' AS told FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 srcs AS (SELECT conv_id * 1000 + turn AS qid, 1 AS n, regexp_replace(lower(a), '[\s]+', ' ', 'g') AS body FROM turns WHERE role = 'assistant' AND a IS NOT NULL UNION ALL SELECT conv_id * 1000 + turn, 2, regexp_replace(lower(b), '[\s]+', ' ', 'g') FROM turns WHERE role = 'assistant' AND b IS NOT NULL),
-merged AS (SELECT c.qid, c.claim_no, any_value(c.text) AS text, string_agg(s.body, ' ' ORDER BY s.n) AS body FROM (SELECT qid, claim_no, text, unnest(citations) AS n FROM claims) c JOIN srcs s USING (qid, n) GROUP BY c.qid, c.claim_no),
-cterms AS (SELECT DISTINCT qid, claim_no, body, unnest({S.tokens('text')}) AS term FROM merged)"""
+{CITED}"""
 
 
 @query("v4_support", f"WITH {S.POSTINGS}, answers AS ({ANSWERS}), {CLAIMS}, {SUPPORT} SELECT qid, claim_no, round(sum(CASE WHEN contains(body, term) THEN coalesce(idf, 6.0) ELSE 0 END) / sum(coalesce(idf, 6.0)), 6) AS support FROM cterms LEFT JOIN terms USING (term) GROUP BY qid, claim_no")
@@ -183,6 +174,26 @@ def v5_verify(spark, sf_dir):
     return verdicts(spark, sf_dir).select("qid", "claim_no", "supported", six("support"), F.array_join("ungrounded", ",").alias("ungrounded"), reason)
 
 
+@query(
+    "a10_answers",
+    rf"""WITH {EXTRACTED}, {SIGNALS}, answers AS (SELECT qid, string_agg(text, chr(10) ORDER BY n, line) AS answer FROM quoted GROUP BY qid), {CLAIMS},
+srcs AS (SELECT qid, rank AS n, regexp_replace(lower(indexed), '\s+', ' ', 'g') AS body FROM used JOIN chunks USING (pos)), {CITED}, {VERDICTS},
+gates AS (SELECT qid, CASE WHEN hits = 0 THEN 'retrieval' WHEN top < 0.20 THEN 'best' WHEN overlap < 0.08 THEN 'the' WHEN support < 0.18 AND top < 0.32 THEN 'one' ELSE 'sufficient' END AS rule FROM sig),
+marked AS (SELECT v.qid, v.claim_no, v.reason = 'grounded' AS good, v.text || ' ' || array_to_string(list_transform(list_filter(c.citations, lambda n: list_contains(o.offered, n)), lambda n: '[S' || n || ']'), '') AS line FROM verdicts v JOIN claims c USING (qid, claim_no) JOIN (SELECT qid, list(n) AS offered FROM srcs GROUP BY qid) o USING (qid)),
+counted AS (SELECT qid, count(*) AS claims, count(*) FILTER (WHERE good) AS kept, string_agg(line, chr(10) ORDER BY claim_no) FILTER (WHERE good) AS shown FROM marked GROUP BY qid),
+decided AS (SELECT g.qid, rule, rule = 'sufficient' AND coalesce(kept, 0) > 0 AS good, coalesce(claims, 0) AS claims, coalesce(kept, 0) AS kept, shown FROM gates g LEFT JOIN counted USING (qid))
+SELECT qid, md5(CASE WHEN good THEN shown ELSE '{A.REFUSAL}' END) AS digest, NOT good AS abstained, CASE WHEN rule <> 'sufficient' OR good THEN rule ELSE 'no' END AS rule, CASE WHEN good THEN round(kept / claims, 4) ELSE 0.0 END AS groundedness, kept, claims FROM decided""",
+)
+def a10_answers(spark, sf_dir):
+    """Gate, extractive lines, claims, verification and assembly for every benchmark question."""
+    q, h, weights = questions(spark, sf_dir), settled(hits(spark, sf_dir)), idf(spark, sf_dir)
+    used = settled(context(spark, sf_dir, h))
+    raw = A.extractive(used, R.weighted_terms(q, weights)).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line", "text"))), lambda x: x["text"]), "\n").alias("answer"))
+    found = V.verified(settled(V.claims(raw)), used.select("qid", "n", F.col("indexed").alias("text")), weights)
+    out = A.assembled(q, A.gate(A.signals(q, h)), settled(found))
+    return out.select("qid", F.md5("answer").alias("digest"), "abstained", F.substring_index("reason", " ", 1).alias("rule"), "groundedness", "kept", "claims")
+
+
 @query(
     "v6_groundedness",
     f"WITH {S.POSTINGS}, answers AS ({ANSWERS}), {CLAIMS}, {SUPPORT}, {VERDICTS} SELECT a.qid, count(v.qid) AS claims, CAST(coalesce(sum(CASE WHEN reason = 'grounded' THEN 1 ELSE 0 END), 0) AS BIGINT) AS kept, round(coalesce(avg(CASE WHEN reason = 'grounded' THEN 1.0 ELSE 0.0 END), 0), 6) AS groundedness FROM answers a LEFT JOIN verdicts v USING (qid) GROUP BY a.qid",
