@@ -35,6 +35,7 @@ from clauseforge.llm.common import bounded_batches, quoted
 PATH_DIM, LEAF_DIM, WORD_DIM, SIZE_DIM = 128, 32, 16, 4
 DIM = PATH_DIM + LEAF_DIM + WORD_DIM + SIZE_DIM
 HIDDEN = 12
+#: Training reads every page twice, the second time with all containers as nameless div elements.
 #: Labelled rows: windows of WINDOW blocks, at most so many, from at most so many pages of the table.
 FIT_PAGES, FIT_WINDOWS, WINDOW = 160, 320, 96
 #: Generated pages that are trained on.
@@ -54,6 +55,8 @@ RAW = set("script style title textarea noscript template svg iframe object".spli
 #: What a tag of each kind ends when it opens.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("article aside blockquote body details div fieldset figure footer form header html main nav ol section table td th ul".split())
+#: Containers that a page may as well write as div.
+CONTAINERS = set("article aside footer header main nav section".split())
 #: Container names of the parts of a page that are not its article.
 OTHER_TAGS = set("nav header footer aside form button select dialog menu".split())
 OTHER_NAMES = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form header login masthead menu nav navbar navigation newsletter notice pagination popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
@@ -64,16 +67,22 @@ def path_bit(word: str) -> int:
     return 1 << crc32(word.encode()) % PATH_DIM
 
 
+def unnamed(tag: str) -> str:
+    return "div" if tag in CONTAINERS else tag
+
+
 class Node:
     """An open element: its tag, and what it and those above it add to a block's vector."""
 
-    __slots__ = ("tag", "mask", "depth", "linked", "other")
+    __slots__ = ("tag", "mask", "plain", "depth", "linked", "other")
 
     def __init__(self, above: "Node | None" = None, tag: str = "", names=()):
         self.tag = tag
         self.mask = above.mask | path_bit(tag) if above else 0
         for name in names:
             self.mask |= path_bit("." + name)
+        #: The path if containers told nothing.
+        self.plain = above.plain | path_bit(unnamed(tag)) if above else 0
         self.depth = above.depth + 1 if above else 0
         self.linked = bool(above) and (above.linked or tag == "a")
         self.other = bool(above) and (above.other or tag in OTHER_TAGS or not OTHER_NAMES.isdisjoint(names))
@@ -163,14 +172,17 @@ def named_article(block) -> bool:
     return not block[0].other
 
 
-def vectors(page: list[tuple]) -> np.ndarray:
-    """One row a block; the last four numbers are sizes and whether the block is linked."""
+def vectors(page: list[tuple], plain: bool = False) -> np.ndarray:
+    """One row a block; the last four numbers are sizes and whether the block is linked.
+
+    ``plain``: as if all containers were nameless div elements.
+    """
     x = np.zeros((len(page), DIM), np.float32)
     if page:
-        masks = np.frombuffer(b"".join(node.mask.to_bytes(PATH_DIM // 8, "little") for node, _, _ in page), np.uint8)
+        masks = np.frombuffer(b"".join((node.plain if plain else node.mask).to_bytes(PATH_DIM // 8, "little") for node, _, _ in page), np.uint8)
         x[:, :PATH_DIM] = np.unpackbits(masks.reshape(len(page), -1), axis=1, bitorder="little")
     for i, (node, tag, text) in enumerate(page):
-        x[i, PATH_DIM + crc32(tag.encode()) % LEAF_DIM] = 1
+        x[i, PATH_DIM + crc32((unnamed(tag) if plain else tag).encode()) % LEAF_DIM] = 1
         words = text.split(" ")
         hashed = np.fromiter((crc32(w.encode()) % WORD_DIM for w in words), np.int64, len(words))
         x[i, PATH_DIM + LEAF_DIM : -SIZE_DIM] = 0.25 * np.bincount(hashed, minlength=WORD_DIM) / len(words)
@@ -338,7 +350,7 @@ def generated(n: int, seed: int = 11, plain: float = 0.25, other_names: list[str
 
         for _ in range(rng.randint(1, 4)):
             other([("nav", ""), ("header", ""), ("div", "header"), ("div", "menu"), ("div", "ad"), ("div", "ad"), ("div", "cookie"), ("div", "notice"), ("aside", ""), ("form", "")])
-        body = rng.choice([["article"], ["article"], ["main"], ["main", "article"], ["div", "article"]])
+        body = rng.choice([["article"], ["article"], ["main"], ["main", "article"], ["div", "article"], ["div"], ["div"], ["div", "div"], ["section"], ["td"]])
         named = rng.choice([[], [], ["content"], ["post", "body"], ["entry"], [word()]])
         for k in range(rng.randint(1, 30)):
             leaf = ["h1"] if k == 0 else rng.choice([["p"]] * 8 + [["p", "b"], ["h2"], ["ul", "li"], ["blockquote"], ["p", "a"], []])
@@ -358,8 +370,8 @@ def _windows(batches):
             page = blocks(html)
             for a in range(0, len(page), WINDOW):
                 mine = page[a : a + WINDOW]
-                x, y = vectors(mine), np.array([named_article(b) for b in mine], np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([crc32(f"{h} {a}".encode())], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["h", "x", "y"])
+                x, plain, y = vectors(mine), vectors(mine, True), np.array([named_article(b) for b in mine], np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([crc32(f"{h} {a}".encode())], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (x, plain, y))], names=["h", "x", "plain", "y"])
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> Labeller:
@@ -372,10 +384,11 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
     # One row a bucket, which is what is broadcast.
     least = rows.groupBy(F.pmod("h", F.lit(fit_pages)).alias("bucket")).agg(F.min("h").alias("h")).select("h")
     drawn = rows.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html"))
-    windows = drawn.mapInArrow(_windows, "h long, x binary, y binary").sort("h", "x").limit(FIT_WINDOWS).collect()
-    known = [(np.frombuffer(r.x, np.float32).reshape(-1, DIM), np.frombuffer(r.y, np.float32)) for r in windows]
+    windows = drawn.mapInArrow(_windows, "h long, x binary, plain binary, y binary").sort("h", "x").limit(FIT_WINDOWS).collect()
+    known = [(np.frombuffer(v, np.float32).reshape(-1, DIM), np.frombuffer(r.y, np.float32)) for r in windows for v in (r.x, r.plain)]
+    drawn = [(vectors(p, plain), np.array(y, np.float32)) for p, y in generated(GENERATED) for plain in (False, True)]
     model = Labeller()
-    model.train([*((vectors(p), np.array(y, np.float32)) for p, y in generated(GENERATED)), *known])
+    model.train([*drawn, *known])
     return model
 
 
