@@ -40,8 +40,8 @@ OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 DOT = r"(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)"
 #: Wider patterns whose matches the trees judge.
 WIDE = {
-    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}+(?:(?:\.|[\[(]\.[\])])[0-9]{1,3}+){3}+|[0-9A-Fa-f]{1,4}+(?:::?+[0-9A-Fa-f]{1,4}+){2,7}+)",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)*{DOT}[A-Za-z]{{2,6}}+(?![A-Za-z0-9-])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{3,4}+::[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])|[0-9]{1,3}+(?:(?:\.|[\[(]\.[\])])[0-9]{1,3}+){3}+|[0-9A-Fa-f]{1,4}+(?:::?+[0-9A-Fa-f]{1,4}+){2,7}+)",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?+[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,14}+(?![0-9])",
 }
@@ -61,7 +61,10 @@ NAMED = {
     "card": ["card ", "visa ", "credit card: ", "pay with card no ", "my card is "],
     "phone": ["call ", "phone: ", "tel ", "mobile ", "reach us on "],
 }
-OTHER = ["order ", "invoice ", "version ", "isbn ", "section ", "page ", "article ", "order no. ", "sku ", "v "]
+OTHER = ["order ", "invoice ", "version ", "isbn ", "section ", "page ", "article ", "order no. ", "sku ", "v ", "build ", "timestamp ", "ticket ", "serial ", "model ", "part no. ", "ref ", "lot "]
+#: Words of prose, and words that addresses are made of.
+PROSE = "meet look stay noon table home least once work night school first last them the that ease large sea dinner lunch work sat arrived was people looking stopped left and bubble".split()
+NAMES = "joe anna mark smith lee info sales office mailbox acme example home garden studio".split()
 PLAIN = ["", "then ", "it was ", "we saw ", "about ", "and "]
 
 
@@ -99,15 +102,15 @@ def features(k: int, x: Column) -> Column:
     """Bitmask of format and context features of the candidate ``x`` (m, l, r) of kind ``k``."""
     left, right, m = F.lower(x["l"]), x["r"], x["m"]
     named = r"(?:phone|tel|call|mobile|fax|card|visa|credit|mail|contact|write|send|reach|address|host|client|\bip)[^\x20]{0,4}\x20?[^\x20]{0,6}\x20?[^\x20]{0,3}\x20?$"
-    other = r"(?:order|invoice|version|isbn|sku|article|section|page|no\.|nr\.|#|\bv)\x20?$"
-    form = [r"(?i)[\[(]at[\])]|\x20dot\x20", r"::", r"[\x20.-]", r"[\x20().-]"][k]
+    other = r"(?:order|invoice|version|isbn|sku|article|section|page|build|timestamp|ticket|serial|model|part|\bref|\blot|no\.|nr\.|#|\bv)[.:]?\x20?(?:no\.?|number|is|was)?\x20?$"
+    form = [r"(?i)[\[(]at[\])]", r"::", r"[\x20.-]", r"[\x20().-]"][k]
     shape = [
-        r"(?i)[\[(]at[\])].*[\[(]dot[\])]|\x20at\x20.*\x20dot\x20",
-        r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|[\[(]\.[\])]",
+        r"(?i)\x20at\x20.*\x20dot\x20",
+        r"(?i)^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$|[\[(]\.[\])]|^(?:fe[89ab][0-9a-f]|f[cd][0-9a-f]{2}|2[0-9a-f]{3}):.*[0-9]",
         r"^[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$|^3[0-9]{3}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{4,5}$",
-        r"^(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^00?[1-9][0-9]{0,4}[\x20().-]",
+        r"^(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^\(0[1-9][0-9]{0,4}\)\x20?|^00?[1-9][0-9]{0,4}[\x20().-]",
     ][k]
-    sign = [m.rlike(r"(?:\.|dot[\])]?\x20?)[A-Za-z]{2,6}$"), m.rlike("[A-Fa-f]"), luhn(m), m.rlike(r"^[+(0]")][k]
+    sign = [m.rlike(r"^\S*[0-9._+-]\S*\x20?[\[(]?at") | m.rlike(r"@"), m.rlike("[A-Fa-f]"), luhn(m), m.rlike(r"^[+(0]")][k]
     n = F.length(digits(m)) if k > 1 else F.length(m)
     tests = [
         (left == "") | left.rlike(r"[\s\"'(<\[:,;=]$"),
@@ -167,14 +170,15 @@ def drawn(rng: random.Random, kind: str, good: bool) -> str:
     hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     if kind == "email":
         end = rng.choice(["com", "net", "org", "de"])
-        at, dot = rng.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" at ", " dot ")])
-        return f"{word()}{at}{word()}{dot}{end}" if good else rng.choice([f"{word()} at {word()}.{word()}{word()}", f"{word()} at {number(1)}.{number(2)}", f"look at {word()}.{end}", f"{word()} at {word()}.{word()}{word()}{number(1)}"])
+        at, dot = rng.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]")])
+        prose = f"{rng.choice(PROSE)} at {rng.choice(PROSE)}"
+        return f"{word()}{at}{word()}{dot}{end}" if good else rng.choice([f"{prose} dot {rng.choice(['com', *PROSE])}", f"{prose} dot {end}", f"{prose}.{rng.choice(PROSE).title()}", f"look at {word()}.{end}", f"{word()} at {number(1)}.{number(2)}"])
     if kind == "ip":
         dot = rng.choice(["[.]", "(.)"])
         part = lambda: hexed(rng.randint(1, 4))
         if good:
-            return rng.choice([dot.join(str(rng.randint(0, 255)) for _ in range(4)), ":".join(part() for _ in range(8)), "fe80::" + ":".join("f" + hexed(3) for _ in range(rng.randint(2, 4))), "2001:db8::" + ":".join("a" + hexed(2) for _ in range(rng.randint(1, 4)))])
-        return rng.choice([f"{rng.randint(0, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", ":".join(hexed(2) for _ in range(6)), ":".join(number(1) for _ in range(rng.randint(3, 6))), f"{rng.randint(256, 999)}.{number(2)}.{number(1)}.{number(3)}", f"{number(1)}.{number(3)}.{rng.randint(256, 999)}.{number(1)}"])
+            return rng.choice([dot.join(str(rng.randint(0, 255)) for _ in range(4)), ":".join(part() for _ in range(8)), "fe80::" + ":".join("f" + hexed(3) for _ in range(rng.randint(2, 4))), "2001:db8::" + ":".join("a" + hexed(2) for _ in range(rng.randint(1, 4))), rng.choice(["fe80", "2001", "fd00", "2a02"]) + "::" + number(rng.randint(1, 4))])
+        return rng.choice([f"{rng.choice(['abc', 'cafe', 'add', 'face'])}::{rng.choice(['bad', 'de', 'fed'])}", f"{rng.randint(0, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", ":".join(hexed(2) for _ in range(6)), ":".join(number(1) for _ in range(rng.randint(3, 6))), f"{rng.randint(256, 999)}.{number(2)}.{number(1)}.{number(3)}", f"{number(1)}.{number(3)}.{rng.randint(256, 999)}.{number(1)}"])
     if kind == "card":
         if good:
             n, sizes, between = rng.choice([(16, [4] * 4, "."), (15, [4, 6, 5], mark), (14, [4, 6, 4], mark), (15, [15], "")])
@@ -183,19 +187,32 @@ def drawn(rng: random.Random, kind: str, good: bool) -> str:
         return rng.choice([grouped(checksummed(rng, 16, False), [4] * 4, mark), "978-3-" + grouped(number(9), [2, 6, 1], "-"), number(rng.randint(13, 19)), "20" + grouped(number(12), [2, 2, 8], mark), grouped(number(15), [3] * 5, mark)])
     if good:
         area, rest = number(3), (number(3), number(4))
-        return rng.choice([f"({area}) {rest[0]}-{rest[1]}", f"{area}-{rest[0]}-{rest[1]}", f"{area}.{rest[0]}.{rest[1]}", f"1 ({area}) {rest[0]}-{rest[1]}", f"0044 20 {number(4)} {number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"0{number(2)} {number(7)}"])
+        return rng.choice([f"({area}) {rest[0]}-{rest[1]}", f"{area}-{rest[0]}-{rest[1]}", f"{area}.{rest[0]}.{rest[1]}", f"1 ({area}) {rest[0]}-{rest[1]}", f"0044 20 {number(4)} {number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"0{number(2)} {number(7)}", f"(0{number(2)}) {number(6)}", f"(0{number(3)}) {number(6)}"])
     year = str(rng.randint(1950, 2030))
     return rng.choice([f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(10, 28)}.{rng.randint(10, 12)}.{year}", f"{year}-{year}", number(rng.randint(7, 15)), f"{number(1)} {number(3)} {number(3)}", f"{number(1)}.{number(8)}", f"{number(2)}.{number(3)}.{number(3)}.{number(3)}", f"{year} {year} {year}"])
 
 
 def examples(kind: str, n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, bool]]:
-    """Texts with one span of the kind or one look-alike each, and which of the two."""
+    """Texts with one span of the kind or one look-alike each, and which of the two.
+
+    What stands before a span decides where its form does not: an address that is spelled in words
+    counts only behind a word that names it, and a third of the look-alikes have the form of a span
+    behind the name of another number.
+    """
     rng = random.Random(f"{kind} {seed}")
     out = []
     for i in range(n):
         good = i % 2 == 0
         before = rng.choice(NAMED[kind] * 3 + PLAIN if good else OTHER * 2 + PLAIN * 2)
-        out.append((before + drawn(rng, kind, good) + rng.choice(["", ".", " today", ", please", " and more"]), good))
+        body = drawn(rng, kind, good)
+        if good and kind == "email" and rng.random() < 0.25:
+            before, body = rng.choice(NAMED[kind]), f"{rng.choice(NAMES)} at {rng.choice(NAMES)} dot {rng.choice(['com', 'org', 'net'])}"
+        elif not good and rng.random() < 0.33:
+            if kind != "email":
+                before, body = rng.choice(OTHER), drawn(rng, kind, True)
+            else:
+                before = rng.choice(PLAIN)
+        out.append((before + body + rng.choice(["", ".", " today", ", please", " and more"]), good))
     return out
 
 
@@ -221,17 +238,26 @@ def fit(spark: SparkSession, n: int = EXAMPLES, seed: int = 17) -> dict[int, tup
     return models
 
 
+def accepted(models: dict) -> Column:
+    """By kind which feature bitmasks the trees accept, 64 to a long."""
+
+    def words(k: int) -> Column:
+        model, least = models.get(k, (None, 2))
+        held = [least <= 1 and model.probability(bits) >= least for bits in range(1 << FEATURES)]
+        longs = [sum(1 << b for b in range(64) if held[a + b]) for a in range(0, 1 << FEATURES, 64)]
+        return F.array(*(F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in longs))
+
+    return F.array(*map(words, range(len(KINDS))))
+
+
 def find(docs: DataFrame, base: str, spans: str, text_col: str = "text", models: dict | None = None) -> DataFrame:
     """``docs`` with columns ``base`` (base spans) and ``spans`` (all spans), by kind and start."""
     models = fit(docs.sparkSession) if models is None else models
     text = F.coalesce(quoted(text_col), F.lit(""))
+    good = accepted(models)
 
     def taken(c: Column) -> Column:
-        score = F.lit(False)
-        for k, (model, least) in models.items():
-            if least <= 1:
-                score = score | ((c["k"] == k) & (model.score(c["bits"]) >= least))
-        return score
+        return F.getbit(F.get(F.get(good, c["k"]), F.shiftright(c["bits"], 6)), c["bits"].bitwiseAND(63)) == 1
 
     def added(cs: Column) -> Column:
         return F.transform(F.filter(cs, taken), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m")))
