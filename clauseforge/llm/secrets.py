@@ -31,7 +31,7 @@ from clauseforge.session import remove, shared_folder
 
 KINDS = ["assign", "access", "hex", "forge", "chat", "jwt", "pem", "login"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
-PEM = "-----{} [A-Z ]{{0,24}}PRIVATE KEY-----"
+PEM = "-----{} [A-Z0-9 ]*+(?<= PRIVATE KEY)-----"
 #: A private key runs to its END line; without one, before the next BEGIN, over its headers and what may be its body.
 #: Patterns by kind: those of the first three kinds are the base, the others are added to it.
 RULES = {
@@ -98,7 +98,11 @@ def record(docs: DataFrame, path: str, text_col: str = "text", rule_version: str
     """Scan the blobs that the ledger below ``path`` lacks, add them to it, and return it."""
     spark, name = docs.sparkSession, uuid.uuid4().hex
     hidden, whole = f"{path}/_new-{name}", f"{path}/run-{name}"
-    scan_blobs(docs, stored(spark, path), text_col, rule_version).write.parquet(hidden)
+    try:
+        scan_blobs(docs, stored(spark, path), text_col, rule_version).write.parquet(hidden)
+    except BaseException:
+        remove(spark, hidden)
+        raise
     if stored(spark, path) is not None and spark.read.schema(LEDGER).parquet(hidden).isEmpty():
         remove(spark, hidden)
     else:
