@@ -183,6 +183,17 @@ def test_packing(docs, empty, rows):
     assert packing.pack_documents(empty, vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("remainders", [1024, 3])
+def test_packing_merges_what_partitions_leave(spark, docs, rows, remainders):
+    pieces = packing.pack_documents(docs.repartition(13), vocabulary(), remainders=remainders).collect()
+    check_pieces(pieces, rows)
+    windows = {p.sequence_id: p.window for p in pieces}
+    level = max(windows) >> 58
+    assert level == (1 if remainders == 1024 else 3)
+    below = [s for s, w in windows.items() if w < packing.TIERS[-1]]
+    assert all(s >> 58 == level for s in below) and sum(windows[s] for s in below) < packing.TIERS[-1]
+
+
 def test_packer_fills_gaps_from_shorter_tiers():
     p = packing.Packer(0, tiers=(16, 8, 4), pool=1 << 20)
     for i, n in enumerate([13, 3, 9, 5, 40, 2, 7, 1]):
@@ -560,6 +571,19 @@ def test_secrets_are_found_whole(spark):
     assert [got[i] for i in range(5)] == want and got[5] == "[pem]" * 1_000
 
 
+def test_secret_headers_of_any_length_and_failed_scans(spark, tmp_path, monkeypatch):
+    key = "-----BEGIN {0}PRIVATE KEY-----\nQUJD\n-----END {0}PRIVATE KEY-----"
+    texts = [key.format(""), key.format("SOME VERY LONG LABEL OF A MAKER OF KEYS "), key.format("X25519 "), key.format("A " * 50_000), key.format("PUBLIC ").replace("PRIVATE", "SHARED")]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [got[i] for i in range(4)] == ["[pem]"] * 4 and got[4] == texts[4]
+    path = tmp_path / "ledger"
+    monkeypatch.setattr(secrets, "scan_blobs", lambda *a, **k: docs.select(F.raise_error(F.lit("lost")).alias("blob_id")))
+    with pytest.raises(Exception, match="lost"):
+        secrets.record(docs, f"file://{path}")
+    assert not [f for f in path.iterdir() if f.name.startswith("_new-")]
+
+
 def test_pii_candidates_do_not_depend_on_other_text(spark):
     models = {k: (boosting.fit({0: (1.0, 1.0)}, pii.FEATURES), -1e9) for k in range(len(pii.KINDS))}
     texts = ["write to joe at example.com today", "host ab:cd:ef:ab:cd:ef:ab:cd is up", "joe [at] example [dot] com", "meet me at noon"]
