@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.session import shared_folder
+from clauseforge.session import remove, shared_folder
 
 #: Bytes of one Arrow batch sent to a Python worker; a single longer row still goes whole.
 BATCH_BYTES = 8 << 20
+#: Files of the checkpoints made since the innermost ``passing`` began, if any.
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -37,6 +42,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Checkpoints that ``cut`` makes within go at the end, also after a failure: what reads them must be written by then."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(before)
+        for path in made:
+            remove(spark, path)
+
+
 def cut(df: DataFrame, spent: bool = False) -> DataFrame:
     """``df`` from a checkpoint in the shared folder.
 
@@ -46,6 +64,8 @@ def cut(df: DataFrame, spent: bool = False) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
+    if (made := _MADE.get()) is not None:
+        made.append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
     if spent:
         df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
     return out
