@@ -5,10 +5,10 @@ a 64-bit hash and, where that is one for different sets, by a second one. A clas
 fingerprint of its set. Two bits of 64 say little about a similarity of 0.8,
 where some ten bits differ, and no choice of agreeing bits finds such pairs without comparing
 most. So shards are named by bands of min-wise hashes, ROWS to a band: two classes of similarity
-SIMILARITY share none of the BANDS bands once in 2e7. In a shard, fingerprints within RADIUS bits
-(a pair at 0.8 lies beyond once in 1e7) are linked if the whole sets are at least SIMILARITY alike,
-checked exactly. A tree of fingerprints, as operator 7 has it at two bits, prunes nothing at such
-a radius: random fingerprints lie 32 bits apart. So a shard is compared in numpy instead.
+SIMILARITY share none of the BANDS bands once in 2e7. A shard holds a BK-tree of fingerprints, as
+operator 7 has it; what it finds within RADIUS bits (a pair at 0.8 lies beyond once in 1e7) is linked
+if the whole sets are at least SIMILARITY alike, checked exactly. At such a radius a tree prunes
+little, since random fingerprints lie 32 bits apart; the shards' size bounds its searches.
 
 Bands are taken in ROUNDS; between them the components are contracted, and a band whose classes
 are in one component already is not read again. A band with more than HOT classes, or very long
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseforge.llm.common import bounded_batches, cut
-from clauseforge.llm.simhash import SEED, components, keyed, majority, one_each
+from clauseforge.llm.simhash import SEED, BKTree, components, keyed, majority, one_each
 
 SHINGLE = 5
 #: Links join sets that share at least so much of their union, as a fraction.
@@ -120,15 +120,18 @@ def unit_links(held: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]
     cls = [x for x, *_ in held]
     sets = [np.frombuffer(s, np.uint64) for *_, s in held]
     root = np.array([name[r] for _, r, *_ in held])
-    prints = np.array([fp for _, _, fp, _ in held], np.int64).view(np.uint64)
-    size = np.array([len(s) for s in sets])
+    prints = np.array([fp for _, _, fp, _ in held], np.int64).view(np.uint64).tolist()
+    size = [len(s) for s in sets]
+    tree, of = BKTree(prints[0]), {prints[0]: [0]}
     out = []
     for x in range(1, len(held)):
-        may = (np.minimum(size[:x], size[x]) * under >= np.maximum(size[:x], size[x]) * over) & (np.bitwise_count(prints[:x] ^ prints[x]) <= RADIUS)
-        for y in np.flatnonzero(may & (root[:x] != root[x])).tolist():
-            if root[x] != root[y] and alike(sets[x], sets[y]):
+        near = [y for fp in tree.within(prints[x], RADIUS) for y in of[fp]]
+        for y in sorted(near):
+            if root[x] != root[y] and min(size[x], size[y]) * under >= max(size[x], size[y]) * over and alike(sets[x], sets[y]):
                 root[root == root[y]] = root[x]
                 out.append((cls[x], cls[y]))
+        tree.insert(prints[x])
+        of.setdefault(prints[x], []).append(x)
     return out
 
 

@@ -142,3 +142,30 @@ def test_different_sets_of_one_hash_are_told_apart(spark):
     got = {r.id: r.cls for r in near_copies.told_apart(spark.createDataFrame(rows, schema)).collect()}
     assert got[1] == got[2] != got[3] and got[4] == 8 and len(set(got.values())) == 3
     assert near_copies.told_apart(spark.createDataFrame(rows[3:], schema)).collect() == [(4, 8, 1)]
+
+
+def test_shards_are_searched_by_bk_trees(monkeypatch):
+    """The links of a shard are those that its tree finds, and no fewer than comparing all pairs gives."""
+    import random
+
+    from clauseforge.llm import near_copies as N
+    from clauseforge.llm.simhash import BKTree, majority
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 999)}" for _ in range(120)] for _ in range(12)]
+    words = base + [[*b[:100], f"x{k}", *b[101:]] for b in base for k in range(3)] + [base[0] + ["w1"], base[0] + ["w1"]]
+    sets = [N.shingles(" ".join(w)) for w in words]
+    prints = [majority(s.astype(">u8").view(np.uint8).reshape(-1, 8)) for s in sets]
+    held = [(i, i, int(np.uint64(p).view(np.int64)), s.tobytes()) for i, (p, s) in enumerate(zip(prints, sets))]
+
+    def parts(links):
+        top = list(range(len(sets)))
+        for a, b in links:
+            top = [top[a] if t == top[b] else t for t in top]
+        return [top.index(t) for t in top]
+
+    pairs = [(x, y) for x in range(len(sets)) for y in range(x) if (prints[x] ^ prints[y]).bit_count() <= N.RADIUS and N.alike(sets[x], sets[y])]
+    asked, within = [], BKTree.within
+    monkeypatch.setattr(BKTree, "within", lambda self, x, radius: asked.append(radius) or within(self, x, radius))
+    assert parts(N.unit_links(held)) == parts(pairs) and pairs
+    assert asked == [N.RADIUS] * (len(held) - 1)
