@@ -7,8 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.operators import blocks
+from clauseforge.operators import batches, blocks
 from clauseforge.operators import index as I
+from clauseforge.session import remove
 
 FORMAT = 4
 
@@ -26,14 +27,16 @@ def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, revers
         raise ValueError("there are no chunks to index")
     chunks.write.mode(mode).parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
-    I.postings(chunks, text_col).repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/postings")
-    posts = spark.read.parquet(f"{path}/postings")
-    blocks.blocked(posts).write.mode(mode).parquet(f"{path}/blocks")
+    made = I.tables(chunks, text_col)  # chunks are tokenised once; weights need no join of postings
+    made["postings"].repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/postings")
+    blocks.of_batches(made["batches"]).write.mode(mode).parquet(f"{path}/blocks")
     I.stats_of(blocks.total_length(spark.read.parquet(f"{path}/blocks")), chunks).write.mode(mode).parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
-    I.term_stats(posts, stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
-    weights = I.tfidf(posts, stats, df=spark.read.parquet(f"{path}/terms"))
-    weights.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
+    I.with_idf(made["terms"].select("term", "df"), stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
+    weighed = I.weighed(made["batches"], spark.read.parquet(f"{path}/terms"), stats)
+    batches.weights(weighed).repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
+    remove(spark, made["batches"].inputFiles()[0].rpartition("/")[0])
+    remove(spark, made["terms"].inputFiles()[0].rpartition("/")[0])
     basis = spark.createDataFrame([], "f int, term string, row array<float>")
     if latent_dims:
         vectors, basis = I.latent_vectors(spark.read.parquet(f"{path}/weights"), latent_dims)

@@ -88,3 +88,13 @@ def test_few_sums_at_once(chunks, questions, monkeypatch):
     want = scores()
     monkeypatch.setattr(blocks, "CELLS", row["n"] * 4)
     assert scores() == want
+
+
+def test_blocks_of_batches_are_those_of_postings(chunks, monkeypatch):
+    from clauseforge.operators import blocks
+
+    monkeypatch.setattr(B, "CHUNKS", 50)  # a block's chunks lie in several batches
+    held = I.tables(chunks)
+    rows = lambda df: {r.block: (r.terms, *map(bytes, (r.sizes, r.docs, r.tf, r.dl))) for r in df.collect()}
+    got = rows(blocks.of_batches(held["batches"]))
+    assert got == rows(blocks.blocked(held["postings"])) and len(got) > 10
