@@ -86,3 +86,11 @@ def test_against_a_plain_verifier(spark):
         assert r.citations == [n for n in cited if n in sources[i]]
         reasons.add(reason.split(" ")[0])
     assert reasons == {"no", "not", "weak", "grounded"}
+
+
+def test_claims_keep_their_first_and_last_characters(spark):
+    """Lines that begin or end with the digits of their own number; spaces around a line go."""
+    lines = ["0 valves are shut 0", "  1 pump runs for 11 ", "2.5 bar [S1]", "", "33 pumps [S2]", "- 4 of 4"] + ["a line"] * 4 + ["10.1.0.1 answers"]
+    got = V.claims(spark.createDataFrame([(1, "\n".join(lines))], "qid long, answer string")).sort("claim_no").collect()
+    want = ["0 valves are shut 0", "1 pump runs for 11", "2.5 bar", "33 pumps", "4 of 4"] + ["a line"] * 4 + ["10.1.0.1 answers"]
+    assert [(r.claim_no, r.text) for r in got] == list(enumerate(want))
