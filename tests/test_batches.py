@@ -98,3 +98,29 @@ def test_blocks_of_batches_are_those_of_postings(chunks, monkeypatch):
     rows = lambda df: {r.block: (r.terms, *map(bytes, (r.sizes, r.docs, r.tf, r.dl))) for r in df.collect()}
     got = rows(blocks.of_batches(held["batches"]))
     assert got == rows(blocks.blocked(held["postings"])) and len(got) > 10
+
+
+def test_chunks_that_have_a_term(chunks):
+    import pyarrow as pa
+
+    held, asked = I.tables(chunks), ["rare3", "oil", "re.d", "unheard"]
+    got = sorted((r.pos, r.term) for r in B.having(held["batches"], pa.array(asked)).collect())
+    assert got == sorted((r.pos, r.term) for r in held["postings"].where(F.col("term").isin(asked)).collect()) and len(got) > 50
+    assert B.having(held["batches"], pa.array([], pa.string())).count() == 0
+
+
+def test_expected_reads_the_index(spark, tmp_path):
+    """Questions met verbatim: with tokens, without, of two words, with a null source beside; each text is tokenised once."""
+    from clauseforge.plans import answering as P
+    from clauseforge.plans.search import chunks as of
+
+    texts = ["say The pump-3 shall stop now ok", "The pump-3 shall stop nowhere", "x of the and on y", "é ü ö", "oil valve", None, "The pump-3 shall"]
+    rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(texts)] + [(90, texts[0], None, "n", 9), (91, texts[2], "en", None, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = ["The pump-3 shall stop now", "of the and on", "é ü ö", "oil valve", "", "no such words here", None]
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = I.tables(of(spark, str(tmp_path)))
+    found = P.expected(spark, str(tmp_path), held)
+    want = {(q, s, lang) for q, x in enumerate(asked) if x is not None for _, t, lang, s, _ in rows if t is not None and x in t}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 10
+    assert "Generate explode(array_distinct(split" not in found._jdf.queryExecution().toString()
