@@ -100,6 +100,21 @@ def test_blocks_of_batches_are_those_of_postings(chunks, monkeypatch):
     assert got == rows(blocks.blocked(held["postings"])) and len(got) > 10
 
 
+def test_rows_of_latent_vectors_are_made_in_batches(chunks):
+    from clauseforge.operators import latent
+
+    held = I.tables(chunks)
+    of = latent.columns(held["weights"])
+    assert latent.columns(None, terms=held["kept"]).collect() == of.collect()
+    names = of.sort("f").select("term").toArrow()["term"].combine_chunks()
+    rows = lambda df: {r.pos: [(e.f, pytest.approx(e.w, abs=1e-12)) for e in r.r] for r in df.collect()}
+    for limit, columns, terms in ((1 << 17, of, names), (7, None, None)):  # hashed columns are shared by several terms
+        made = B.entries(held["weighed"], limit, terms, lambda t: latent.slot(limit, t), latent.sign)  # noqa: B023
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got, want = {r.pos: [(e.f, e.w) for e in r.r] for r in made.collect()}, rows(latent.entries(held["weights"], columns, limit))
+        assert got == want and len(got) > 250 and plan.count("collect_list") == 0
+
+
 def test_chunks_that_have_a_term(chunks):
     import pyarrow as pa
 
