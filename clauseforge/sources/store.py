@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.operators import batches, blocks
+from clauseforge.operators import blocks
 from clauseforge.operators import index as I
 from clauseforge.session import remove
 
@@ -33,10 +33,9 @@ def build(chunks: DataFrame, path: str, forward: DataFrame | None = None, revers
     I.stats_of(blocks.total_length(spark.read.parquet(f"{path}/blocks")), chunks).write.mode(mode).parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
     I.with_idf(made["terms"].select("term", "df"), stats).sort("term").write.mode(mode).parquet(f"{path}/terms")
-    weighed = I.weighed(made["batches"], spark.read.parquet(f"{path}/terms"), stats)
-    batches.weights(weighed).repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
-    remove(spark, made["batches"].inputFiles()[0].rpartition("/")[0])
-    remove(spark, made["terms"].inputFiles()[0].rpartition("/")[0])
+    made["weights"].repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode(mode).parquet(f"{path}/weights")
+    for name in ("batches", "counted", "terms"):
+        remove(spark, made[name].inputFiles()[0].rpartition("/")[0])
     basis = spark.createDataFrame([], "f int, term string, row array<float>")
     if latent_dims:
         vectors, basis = I.latent_vectors(spark.read.parquet(f"{path}/weights"), latent_dims)

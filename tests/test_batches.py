@@ -139,3 +139,21 @@ def test_expected_reads_the_index(spark, tmp_path):
     want = {(q, s, lang) for q, x in enumerate(asked) if x is not None for _, t, lang, s, _ in rows if t is not None and x in t}
     assert {tuple(r) for r in found.collect()} == want and len(want) > 10
     assert "Generate explode(array_distinct(split" not in found._jdf.queryExecution().toString()
+
+
+def test_terms_of_batches_are_counted_in_shares(chunks, monkeypatch):
+    """Frequencies of several shares and batches are those of postings; terms are sent many to a row, and batches meet them without a join of terms."""
+    monkeypatch.setattr(B, "CHUNKS", 16)
+    monkeypatch.setattr(B, "TOGETHER", 4)
+    held = I.tables(chunks)
+    batches, counted = held["batches"].count(), held["counted"]
+    want = {r.term: r.df for r in held["postings"].groupBy("term").agg(F.count("*").alias("df")).collect()}
+    assert {r.term: r.df for r in held["terms"].collect()} == want and batches >= 20
+    assert counted.where("batch IS NULL").count() > 1 and counted.count() < batches * (batches / 4 + 2)
+    places = {r.batch: {} for r in counted.where("batch IS NOT NULL").collect()}
+    for r in counted.where("batch IS NOT NULL").collect():
+        places[r.batch] |= dict(zip(np.frombuffer(r.at, np.int32).tolist(), np.frombuffer(r.df, np.int64).tolist()))
+    for r in held["batches"].collect():
+        assert [places.get(r.batch, {})[i] for i in range(len(r.terms))] == [want[t] for t in r.terms]
+    plan = held["weighed"]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
