@@ -157,3 +157,15 @@ def test_terms_of_batches_are_counted_in_shares(chunks, monkeypatch):
         assert [places.get(r.batch, {})[i] for i in range(len(r.terms))] == [want[t] for t in r.terms]
     plan = held["weighed"]._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_words_are_those_of_the_pattern():
+    """Marks at ends, doubled and between texts, zero bytes, letters whose lower case is ASCII; without a Python object a word."""
+    import re
+
+    pattern, rng = re.compile(T.TOKEN.encode()), random.Random(1)
+    parts = ["a", "B", "9", "-", ".", " ", "\x00", "é", "İ", "K", "ß", "_", "Σ", "--", "a-b", "x.Y-3"]
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        words, of = B._words([None if t is None else t.encode() for t in texts])
+        assert list(zip(of.tolist(), words.to_pylist())) == [(i, w) for i, t in enumerate(texts) if t for w in pattern.findall(t.lower().encode())]
