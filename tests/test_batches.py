@@ -169,3 +169,26 @@ def test_words_are_those_of_the_pattern():
         texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
         words, of = B._words([None if t is None else t.encode() for t in texts])
         assert list(zip(of.tolist(), words.to_pylist())) == [(i, w) for i, t in enumerate(texts) if t for w in pattern.findall(t.lower().encode())]
+
+
+def test_only_terms_of_questions_leave_the_vocabulary(spark, chunks, questions, monkeypatch):
+    """What is joined with the questions' terms is a part of the vocabulary that grows with them; results are those of the whole."""
+    terms = I.tables(chunks)["terms"]
+    asked = {r.term for r in R.distinct_terms(questions).collect()}
+    idf = {r.term: r.idf for r in terms.collect()}
+    want = {}
+    for r in R.distinct_terms(questions).collect():
+        want.setdefault(r.qid, []).append((r.ord, r.term, idf.get(r.term, R.UNKNOWN_IDF)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (True, False):
+            if not few:
+                monkeypatch.setattr(R, "sized", lambda df: df)
+            found = R.weighted_terms(questions, terms)
+            assert {r.qid: [tuple(t) for t in r.terms] for r in found.collect()} == {q: sorted(t) for q, t in want.items()}
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("LeftSemi") > plan.index("LeftOuter") and len(idf) > len(asked & set(idf)) > 5
+            if few:
+                assert "BroadcastHashJoin [term" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
