@@ -94,3 +94,31 @@ def test_claims_keep_their_first_and_last_characters(spark):
     got = V.claims(spark.createDataFrame([(1, "\n".join(lines))], "qid long, answer string")).sort("claim_no").collect()
     want = ["0 valves are shut 0", "1 pump runs for 11", "2.5 bar", "33 pumps", "4 of 4"] + ["a line"] * 4 + ["10.1.0.1 answers"]
     assert [(r.claim_no, r.text) for r in got] == list(enumerate(want))
+
+
+def test_values_are_found_once_a_row(spark):
+    from clauseforge.plans.answering import v2_hard_tokens
+
+    text = "TS 24.501, ts  24.501 and T3402, t3402; 0xAB MM IDLE UE PDU-1 3.5, 3.5."
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    found = rows.select(V.hard_tokens(rows["t"]).alias("v"))
+    assert [r.v for r in found.collect()] == [values(text), None, []]
+    # A pattern stands in the plan once: beneath a lambda of the values it would run again for each of them.
+    for plan in (found, v2_hard_tokens(spark, DATA)):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(V.HARD)
+
+
+def test_texts_are_cut_before_they_are_rewritten(spark, tmp_path):
+    from clauseforge.plans.answering import v2_hard_tokens
+
+    texts = ["Ab\U0001f600 ü" * 40, "x" * 88 + "\U0001f600AB CD", "T3402\n" + "é" * 200, "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in v2_hard_tokens(spark, str(tmp_path)).collect():
+        t = texts[r.doc_id]
+        if t is None:
+            assert r.hard is None
+            continue
+        n = r.doc_id
+        made = f"See ts 24.{100 + n % 7}, T3{n % 300}x, 0xA{n} and MM IDLE-{n} or UE, ABC/D{n} NAS. " + re.sub("[^ -~]", "x", t)[:90].upper()
+        assert r.hard == "|".join(v for v in values(made) if re.search("[A-Za-z]", v))
