@@ -4,6 +4,8 @@ Documents are held in blobs of a few MB. Each 50-byte window is assigned the lea
 16-byte grams; windows in a row with the same gram form a context. Equal windows have the same
 gram wherever they stand, so contexts are dealt to shards by gram: no match crosses shards.
 
+0. Each blob sends the SHA-256 of its different texts with their least id. A text that a lesser id has
+   goes whole, and is left out of all that follows: the lesser id's windows are the same.
 1. Each blob sends its distinct grams; a gram met in two blobs is told to both.
 2. Each blob sends the contexts whose gram is met elsewhere, in another blob or another document;
    equal contexts of one blob are sent once, with the least document id; what copies what is
@@ -13,6 +15,9 @@ gram wherever they stand, so contexts are dealt to shards by gram: no match cros
    a window goes if its group's least document id is less than its own.
 4. Each blob cuts the bytes under such windows out of its documents.
 
+   A context that shares neither its gram with the HALF bytes before it nor that with the HALF bytes
+   behind it with another one is left out of the array: a window has one of the two whole.
+
 Grams of very many blobs (HOT_BLOBS) are dealt out by whole windows instead, so what a shard
 gets for one string is at most a row a blob, however often documents repeat it. Shards work in
 pieces of PIECE_BYTES. Blobs and decisions are told apart by the place in the input, so blobs are
@@ -39,9 +44,11 @@ from clauseforge.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 16
+#: A window has so many bytes on one side of its gram at least.
+HALF = (LENGTH - GRAM) // 2
 BLOB_BYTES = 2 << 20
-#: Bytes of text for which there is one shard of grams, or of contexts.
-GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES = 16 << 20, 4 << 20
+#: Bytes of text for which there is one shard of whole texts, of grams, or of contexts.
+TEXT_SHARD_BYTES, GRAM_SHARD_BYTES, SUFFIX_SHARD_BYTES = 64 << 20, 16 << 20, 4 << 20
 #: Blobs of one task; tasks that shards are dealt to, at most (a task takes its shards in turn).
 TASK_BLOBS, MOST_TASKS = 2, 20_000
 PIECE_BYTES = 8 << 20
@@ -89,6 +96,27 @@ class Blob:
     def packed(ids: list[int], texts: list[bytes]) -> bytes:
         return squeezed(joined(np.array(ids, "<i8"), np.array([len(t) for t in texts], "<i8"), np.frombuffer(b"".join(texts), "u1")))
 
+    def alike(self) -> tuple[np.ndarray, dict[bytes, int]]:
+        """For each document the first equal one of the least id, itself if it has no window; and these by SHA-256."""
+        of, known = np.arange(len(self.ids)), {}
+        order = np.argsort(self.ids, kind="stable")
+        order = order[self.sizes[order] >= LENGTH]
+        data = memoryview(self.bytes)
+        of[order] = [known.setdefault(hashlib.sha256(data[b - n : b]).digest(), k) for k, b, n in zip(order.tolist(), self.ends[order].tolist(), self.sizes[order].tolist())]
+        return of, known
+
+    def copies(self, told: list[bytes]) -> np.ndarray:
+        """Which documents a lesser id has whole, here or, as ``told``, in another blob."""
+        of, _ = self.alike()
+        return (self.ids > self.ids[of]) | np.isin(of, np.frombuffer(b"".join(told), "<u4"))
+
+    def only(self, stay: np.ndarray) -> Blob:
+        """The blob of some documents alone."""
+        out = Blob.__new__(Blob)
+        out.ids, out.sizes, out.bytes = self.ids[stay], self.sizes[stay], self.bytes[np.repeat(stay, self.sizes)]
+        out.ends = np.cumsum(out.sizes)
+        return out
+
     def parts(self):
         """Runs of documents of about PART_BYTES: (first byte, last byte, first document, last document)."""
         a = 0
@@ -99,15 +127,24 @@ class Blob:
             a = b
 
 
-def windows(data: np.ndarray) -> np.ndarray:
-    """The least gram hash of each window of LENGTH bytes."""
-    h, n = (data.astype(U) + U(1)) * U(M2), 1
-    while n < GRAM:
-        h = h[:-n] * U(pow(M1, n, 1 << 64)) + h[n:]
-        n *= 2
+def hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each place."""
+    step = lambda h, k, more: h[: len(more)] * U(pow(M1, k, 1 << 64)) + more
+    one = (data.astype(U) + U(1)) * U(M2)
+    h, n = one, 1
+    for bit in bin(length)[3:]:
+        h, n = step(h, n, h[n:]), 2 * n
+        if bit == "1":
+            h, n = step(h, 1, one[n:]), n + 1
     h ^= h >> U(29)
     h *= U(M3)
     h ^= h >> U(32)
+    return h
+
+
+def windows(data: np.ndarray) -> np.ndarray:
+    """The least gram hash of each window of LENGTH bytes."""
+    h = hashes(data, GRAM)
     span, n = LENGTH - GRAM + 1, 1
     while n * 2 <= span:
         h = np.minimum(h[:-n], h[n:])
@@ -218,13 +255,56 @@ def blobs_of(blob_bytes: int):
     return run
 
 
-def send_grams(shards: int):
-    """Blob -> for each shard of grams the low 40 bits of the blob's distinct grams."""
+def send_texts(shards: int):
+    """Blob -> for each shard of whole texts the blob's different ones: least id, place, SHA-256."""
 
     def run(batches):
         for batch in batches:
             for blob, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.unique(Contexts(Blob(data)).v)
+                held, dealt = Blob(data), {}
+                for name, k in held.alike()[1].items():
+                    dealt.setdefault(int.from_bytes(name[:4], "big") * shards >> 32, []).append((k, name))
+                rows = []
+                for shard, texts in dealt.items():
+                    at = np.array([k for k, _ in texts], "<u4")
+                    rows.append((shard, 0, blob, joined(held.ids[at].astype("<i8"), at, np.frombuffer(b"".join(name for _, name in texts), "u1"))))
+                if rows:
+                    yield table(rows)
+
+    return run
+
+
+def known_texts(batches):
+    """Whole texts of a shard -> to each blob the places of those that a lesser id has in another one: kind -1."""
+    for _, rows in by_key(batches):
+        least, got = {}, []
+        for _, blob, data in rows:
+            ids, at, names = parted(data, "<i8", "<u4", "u1")
+            names = names.tobytes()
+            got.append((blob, ids.tolist(), at, [names[a : a + 32] for a in range(0, len(names), 32)]))
+            for i, name in zip(got[-1][1], got[-1][3]):
+                least[name] = min(i, least.get(name, NO_ID))
+        out = []
+        for blob, ids, at, names in got:
+            later = at[[i > least[name] for i, name in zip(ids, names)]]
+            if len(later):
+                out.append((blob, -1, blob, later.tobytes()))
+        for a in range(0, len(out), 1024):
+            yield table(out[a : a + 1024])
+
+
+def send_grams(shards: int):
+    """A blob's copies, then the blob (kind 2) -> for each shard of grams the low 40 bits of the distinct grams of its other texts."""
+
+    def run(batches):
+        for blob, rows in by_key(batches):
+            told = []
+            for kind, _, data in rows:
+                if kind < 0:
+                    told.append(data)
+                    continue
+                held = Blob(data)
+                v = np.unique(Contexts(held.only(~held.copies(told))).v)
                 shard = shard_of(v, shards)
                 at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(v) else np.zeros(0, np.int64)
                 rows = [(int(shard[a]), 0, blob, narrow(v[a:b])) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(v)])]
@@ -270,16 +350,21 @@ def shared_grams(hot_blobs: int):
 
 
 def send_contexts(shards: int):
-    """A blob's shared grams, then the blob (kind 2) -> for each shard its contexts; kind 1: what copies what."""
+    """A blob's copies and shared grams, then the blob (kind 2) -> for each shard its contexts; kind 1: what copies what."""
 
     def run(batches):
         for blob, rows in by_key(batches):
             known: list[list[np.ndarray]] = [[], []]
+            told = []
             for kind, _, data in rows:
+                if kind < 0:
+                    told.append(data)
+                    continue
                 if kind < 2:
                     known[kind].append(wide(data))
                     continue
                 held = Blob(data)
+                held = held.only(~held.copies(told))
                 c = Contexts(held)
                 of, several = c.representatives(held)
                 own = of == np.arange(len(of))
@@ -341,17 +426,43 @@ def pieces(whole: np.ndarray, size: np.ndarray, stop: np.ndarray) -> list[np.nda
     return np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1)
 
 
+def meeting(data: np.ndarray, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the contexts in ``data`` share a gram with HALF bytes before or behind it with another one.
+
+    The gram of a window may stand at several places of its context; each of them counts.
+    """
+    stop = np.cumsum(size)
+    first = stop - size
+    at = np.flatnonzero(hashes(data, GRAM) == np.repeat(gram, size)[: 1 - GRAM])
+    owner = np.searchsorted(stop, at, side="right")
+    long = hashes(data, GRAM + HALF)
+    out = np.zeros(len(size), bool)
+    for back in (HALF, 0):
+        good = (at - back >= first[owner]) & (at - back + GRAM + HALF <= stop[owner])
+        key, of = long[at[good] - back], owner[good]
+        if not len(key):
+            continue
+        order = np.argsort(key)
+        key, of = key[order], of[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        several = np.minimum.reduceat(of, new) < np.maximum.reduceat(of, new)
+        out[of[np.repeat(several, np.diff(np.append(new, len(key))))]] = True
+    return out
+
+
 def least_by_window(contexts: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each window of the distinct contexts the least id that has it.
 
-    A context whose gram no other one has holds windows of its own only; all others are compared
-    by their suffix array.
+    A context whose gram no other one has, or none with either half of a window beside it, holds
+    windows of its own only; all others are compared by their suffix array.
     """
     size = n + LENGTH - 1
     gram = windows(np.frombuffer(b"".join(contexts), np.uint8))[np.cumsum(size) - size]
     _, of, times = np.unique(gram, return_inverse=True, return_counts=True)
     met = np.flatnonzero(times[of] > 1)
     out = np.repeat(ids, n)
+    if len(met):
+        met = met[meeting(np.frombuffer(b"".join([contexts[k] for k in met.tolist()]), np.uint8), gram[met], size[met])]
     if len(met):
         least = least_ids([contexts[k] for k in met.tolist()], ids[met])
         first = np.cumsum(size[met] + 1) - size[met] - 1
@@ -430,29 +541,35 @@ def removal(size: int, gone: list[tuple[np.ndarray, np.ndarray]], copies: list[l
 
 
 def kept_texts(batches):
-    """A blob's decisions, then the blob (kind 2) -> a row a document: sizes and the bytes that stay."""
+    """A blob's copies and decisions, then the blob (kind 2) -> a row a document: sizes and the bytes that stay."""
     for _, rows in by_key(batches):
-        gone, copies = [], []
+        told, gone, copies = [], [], []
         for kind, _, data in rows:
+            if kind < 0:
+                told.append(data)
+                continue
             if kind == 0:
                 gone.append(tuple(x.astype(np.int64) for x in parted(data, "<u4", "<u2")))
                 continue
             if kind == 1:
                 copies.append([x.astype(np.int64) for x in parted(restored(data), "<u4", "<u4", "<u2", "u1")])
                 continue
-            blob = Blob(data)
+            whole = Blob(data)
+            copied = whole.copies(told)
+            blob = whole.only(~copied)
             drop = removal(len(blob.bytes), gone, copies)
             first = blob.ends - blob.sizes
             opens = drop & ~np.append(False, drop[:-1])
             opens[first[blob.sizes > 0]] = drop[first[blob.sizes > 0]]
             total = lambda x: (s := np.append(0, np.cumsum(x)))[blob.ends] - s[first]
-            removed, spans = total(drop), total(opens)
+            removed, spans = whole.sizes.copy(), np.ones(len(whole.ids), np.int64)
+            removed[~copied], spans[~copied] = total(drop), total(opens)
             stay = blob.bytes[~drop].tobytes()
-            ends = np.cumsum(blob.sizes - removed).tolist()
-            ids = pa.array([None if i == NO_ID else i for i in blob.ids.tolist()], pa.int64())
+            ends = np.cumsum(whole.sizes - removed).tolist()
+            ids = pa.array([None if i == NO_ID else i for i in whole.ids.tolist()], pa.int64())
             texts = pa.array([stay[a:b] for a, b in zip([0, *ends], ends)], pa.binary())
-            whole = pa.RecordBatch.from_arrays([ids, pa.array(blob.sizes), pa.array(removed), pa.array(spans), texts], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-            yield from (whole.slice(a, 2048) for a in range(0, len(ends), 2048))
+            out = pa.RecordBatch.from_arrays([ids, pa.array(whole.sizes), pa.array(removed), pa.array(spans), texts], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield from (out.slice(a, 2048) for a in range(0, len(ends), 2048))
 
 
 def _dealt(rows: DataFrame, task, tasks: int) -> DataFrame:
@@ -471,8 +588,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_grams = shards or min((size or 0) // GRAM_SHARD_BYTES + 1, 1 << 20)
     n_suffixes = shards or min((size or 0) // SUFFIX_SHARD_BYTES + 1, 1 << 20)
     by_blob = number * ((last or 0) + 1) + partition, n_blobs // TASK_BLOBS
-    held = blobs.select(F.col("blob").alias("k"), F.lit(2).alias("kind"), "blob", "data")
-    grams = blobs.select("blob", "data").mapInArrow(send_grams(n_grams), ROWS)
+    n_texts = shards or min((size or 0) // TEXT_SHARD_BYTES + 1, 1 << 20)
+    texts = blobs.select("blob", "data").mapInArrow(send_texts(n_texts), ROWS)
+    copies = cut(_dealt(texts, F.col("k"), n_texts).mapInArrow(known_texts, ROWS), spent=True)
+    held = blobs.select(F.col("blob").alias("k"), F.lit(2).alias("kind"), "blob", "data").unionByName(copies)
+    grams = _dealt(held, *by_blob).mapInArrow(send_grams(n_grams), ROWS)
     shared = cut(_dealt(grams, F.col("k"), n_grams).mapInArrow(shared_grams(hot_blobs), ROWS), spent=True)
     contexts = _dealt(shared.unionByName(held), *by_blob).mapInArrow(send_contexts(n_suffixes), ROWS)
     gone = cut(_dealt(contexts, F.col("k"), n_suffixes).mapInArrow(decisions, ROWS), spent=True)

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -357,6 +358,77 @@ def test_substrings(docs, empty, options):
         assert substrings.digest(empty).count() == 0
 
 
+def test_substrings_of_copies(spark):
+    """Whole copies in several blobs, with repeated, null and negative ids, and texts of no window."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    a, b, c = text(120), text(300), text(49)
+    rows = [(4, a), (2, a), (2, a), (None, a), (-3, b), (8, b + a), (9, a + b), (9, a + b), (10, c), (1, c), (11, c + a), (None, text(60)), (12, None), (13, "é" * 40), (-13, "é" * 40)]
+    rows += [(20 + i, t) for i in range(30) for t in (a, b)]
+    held = [((1 << 62) if i is None else i, (t or "").encode()) for i, t in rows]
+    want = sorted((i, len(t), sum(g), sum(1 for k in range(len(g)) if g[k] and (k == 0 or not g[k - 1])), hashlib.sha256(bytes(x for x, y in zip(t, g) if not y)).hexdigest()) for (i, t), g in zip(held, plain.repeats(held)))
+    got = substrings.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), blob_bytes=400, shards=3)
+    assert sorted(((1 << 62) if r.doc_id is None else r.doc_id, *r[1:]) for r in got.collect()) == want
+
+
+def test_substrings_leave_copies_out():
+    """Of texts that a lesser id has whole, in the blob or in another one, no gram is sent."""
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefgh") for _ in range(200)).encode() for _ in range(3))
+    blobs = {1: ([5, 9, 9], [a, b, a]), 2: ([7, 3, 11], [a, b, c])}
+    held = {k: substrings.Blob.packed(*x) for k, x in blobs.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.binary())], names=["blob", "data"])
+    flat = lambda batches: sorted((tuple(r.values()) for x in batches for r in x.to_pylist()), key=lambda r: r[:3])
+    sent = flat(substrings.send_texts(2)([batch]))
+    told = flat(substrings.known_texts(substrings.table([r]) for r in sent))
+    copies = {k: substrings.Blob(x).copies([r[3] for r in told if r[0] == k]).tolist() for k, x in held.items()}
+    assert copies == {1: [False, True, True], 2: [True, False, False]}
+    rows = sorted(told + [(k, 2, k, x) for k, x in held.items()], key=lambda r: r[:2])
+    grams = {k: np.concatenate([substrings.wide(r[3]) for r in flat(substrings.send_grams(1)([substrings.table(rows)])) if r[2] == k]) for k in held}
+    assert not set(grams[1].tolist()) & set(grams[2].tolist())
+
+
+def test_only_contexts_that_can_meet_are_sorted(monkeypatch):
+    """Contexts of one gram that differ on both sides of it need no suffix array; others do, wherever the gram stands."""
+    sorted_ = []
+    whole = substrings.least_ids
+    monkeypatch.setattr(substrings, "least_ids", lambda contexts, ids: sorted_.append(len(contexts)) or whole(contexts, ids))
+    rng = random.Random(9)
+    word = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    texts = [word(3000) for _ in range(2)]
+    held = substrings.Contexts(substrings.Blob(substrings.Blob.packed([0, 1], texts)))
+    at = int(np.argmax(held.n[: np.searchsorted(held.doc, 1)]))
+    first, n = int(held.start[at]), int(held.n[at])
+    context = texts[0][first : first + n + substrings.LENGTH - 1]
+    h = substrings.hashes(np.frombuffer(context, np.uint8), substrings.GRAM)
+    place = int(np.argmin(h))
+    other = lambda keep: bytes(c if place - keep <= k < place + substrings.GRAM + keep else ord("q") for k, c in enumerate(context))
+    ids = np.array([3, 1], np.int64)
+    for two, arrays in ((other(4), []), (other(40)[:-1] + b"q", [2])):
+        sorted_.clear()
+        least = substrings.least_by_window([context, two], ids, np.array([n, n]))
+        shared = [context[k : k + 50] == two[k : k + 50] for k in range(n)]
+        assert least.tolist() == [1 if x else 3 for x in shared] + [1] * n
+        assert sorted_ == arrays
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abc"])
+def test_least_by_window_of_periods(letters):
+    """Grams that stand at many places of a context."""
+    rng = random.Random(10)
+    contexts = list({bytes(rng.choice(letters) for _ in range(rng.randint(1, 4))) * 40 for _ in range(12)} | {bytes(rng.choice(letters) for _ in range(50)) for _ in range(3)})
+    contexts = [c[: rng.randint(50, 90)] for c in contexts]
+    contexts = list(dict.fromkeys(c for c in contexts if len(c) >= 50 and len({int(x) for x in substrings.windows(np.frombuffer(c, np.uint8))}) == 1))
+    ids = np.array([rng.randint(0, 9) for _ in contexts], np.int64)
+    n = np.array([len(c) - 49 for c in contexts])
+    least = {}
+    for c, i in zip(contexts, ids.tolist()):
+        for k in range(len(c) - 49):
+            least[c[k : k + 50]] = min(i, least.get(c[k : k + 50], 99))
+    want = [least[c[k : k + 50]] for c in contexts for k in range(len(c) - 49)]
+    assert substrings.least_by_window(contexts, ids, n).tolist() == want
+
+
 def test_simhash(docs, empty, rows):
     got = by_id(simhash.digest(docs))
     prints = {i: plain.fingerprint(t) for i, t in rows}
