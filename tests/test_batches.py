@@ -192,3 +192,47 @@ def test_only_terms_of_questions_leave_the_vocabulary(spark, chunks, questions,
                 assert "BroadcastHashJoin [term" in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_rows_lie_in_small_row_groups(spark):
+    """A writer holds a row group, a reader loads one: neither grows with the rows of a task."""
+    import pyarrow.parquet as pq
+
+    from clauseforge.session import stored
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    rows = spark.range(24).coalesce(1).select("id", F.expr("repeat(uuid(), 14000)").cast("binary").alias("data"))
+    held = stored(rows, 1 << 20)
+    (file,) = held.inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 6
+    assert held.count() == 24 and spark.conf.get(name, None) == before
+
+
+def test_a_worker_gets_few_batches_at_once(chunks, questions, monkeypatch):
+    """Searches bound what they send to a worker, whatever the session allows, and leave the setting as it was."""
+    monkeypatch.setattr(B, "CHUNKS", 16)
+    monkeypatch.setattr(B, "BYTES", 1)
+    held = I.tables(chunks)
+    asked = R.query_terms(questions).select("qid", "term", F.col("w").alias("weight"))
+
+    def gain(part, i, tf, docs):
+        assert part.num_rows == 1, f"{part.num_rows} batches at once"
+        return tf
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = chunks.sparkSession.conf.get(name, None)
+    assert held["batches"].count() > 5
+    assert B.search(held["batches"].coalesce(1), asked, 5, gain, ["dl"]).count() > 0
+    assert chunks.sparkSession.conf.get(name, None) == before
+
+
+def test_searches_shuffle_nothing_before_they_are_settled(chunks, questions, monkeypatch):
+    """The plan that is run at once reads the batches where they lie."""
+    held, plans = I.tables(chunks), []
+    monkeypatch.setattr(B, "settled", lambda df, batch_bytes: plans.append((df._jdf.queryExecution().executedPlan().toString(), batch_bytes)) or df)
+    asked = R.query_terms(questions).select("qid", "term", F.col("w").alias("weight"))
+    B.search(held["batches"], asked, 5, B.bm25(9.0, R.K1, R.B), ["dl"])
+    ((plan, batch_bytes),) = plans
+    assert "MapInArrow" in plan and "Exchange" not in plan and batch_bytes == B.BYTES
